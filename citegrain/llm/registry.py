@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_encode, id_digest
 from .common import table
+from .media import read_media, write_media
+from .token_counts import prefix_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -19,3 +22,24 @@ def query(f):
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digest(bpe_encode(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_media(write_media(table(spark, sf_dir, "documents")))
+    f = F.col("features")
+    feature = F.concat_ws(
+        " ",
+        F.concat(F.lit("layer="), f.layer), F.concat(F.lit("hz="), f.hz), F.concat(F.lit("channels="), f.channels), F.concat(F.lit("frames="), f.n_frames),
+        F.concat(F.lit("samples="), f.n_samples), F.concat(F.lit("table="), f.table_frames, F.lit("/"), f.table_bytes), F.concat(F.lit("crc="), f.crc_checked - f.crc_failed, F.lit("/"), f.crc_checked),
+        F.concat(F.lit("skipped="), f.skipped_bytes), F.concat(F.lit("tags="), F.array_join(f.tags, "+")), F.concat(F.lit("seek="), F.crc32(F.array_join(f.seek.cast("array<string>"), " "))),
+    )
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length(f.payload).cast("long").alias("payload_bytes"), F.sha2(f.payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(f.payload, -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
