@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at a time inside a task, so that memory follows this and not the Arrow batch.
@@ -38,7 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a record batch into runs of rows whose text stays under `most` bytes (one row at least)."""
     start = held = 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i, n in enumerate(lengths):
         if i > start and held + n > most:
             yield batch.slice(start, i - start)
