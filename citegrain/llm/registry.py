@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode, id_digest
 from .common import table
+from .mixing import mix
 from .media import read_media, write_media
 from .token_counts import prefix_counts
 
@@ -43,3 +44,9 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
