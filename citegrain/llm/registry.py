@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .bpe import bpe_encode, id_digest
 from .common import table
-from .mixing import mix
 from .media import read_media, write_media
+from .mixing import mix
 from .token_counts import prefix_counts
+from .training import labelled_sample, residue, with_score
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +52,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.fit(*labelled_sample(documents, labels, "toxic", residue(5) != 0, toxicity.TRAIN_DOCS))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(*labelled_sample(documents, labels, "quality", residue(4) != 2, quality.TRAIN_DOCS))
+    scored = with_score(documents, model, ["doc_id"], most=quality.SCORED_BYTES)
+    return scored.select("doc_id", (residue(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = with_score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), ["doc_id"])
+    return scored.select("doc_id", (residue(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
