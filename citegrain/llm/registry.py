@@ -10,10 +10,13 @@ from .bpe import bpe_encode, id_digest
 from .common import table
 from .media import read_media, write_media
 from .mixing import mix
+from .pii import pseudonymize
 from .token_counts import prefix_counts
 from .training import labelled_sample, residue, with_score
 
 QUERIES: dict = {}
+#: The queries' pseudonym key; a user brings one of their own.
+PII_KEY = b"citegrain query key, not a secret"
 ORACLES: dict[str, str] = {}
 
 
@@ -71,3 +74,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = with_score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), ["doc_id"])
     return scored.select("doc_id", (residue(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.col("pii.kind"))), ",")
+    return done.select("doc_id", "text", F.size("pii").alias("n_found"), kinds.alias("kinds"))
