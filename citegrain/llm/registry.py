@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import quality, toxicity
 from .bpe import bpe_encode, id_digest
 from .common import table
+from .jaccard import jaccard_components
 from .media import read_media, write_media
 from .mixing import mix
 from .pii import pseudonymize
@@ -81,3 +82,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.col("pii.kind"))), ",")
     return done.select("doc_id", "text", F.size("pii").alias("n_found"), kinds.alias("kinds"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, threshold="0.9")
