@@ -12,6 +12,7 @@ from .jaccard import jaccard_components
 from .media import read_media, write_media
 from .mixing import mix
 from .pii import pseudonymize
+from .repeats import remove_repeats
 from .token_counts import prefix_counts
 from .training import labelled_sample, residue, with_score
 
@@ -87,3 +88,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, threshold="0.9")
+
+
+@query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"), size=400)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
