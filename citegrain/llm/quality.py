@@ -171,7 +171,16 @@ def fit(texts: list[str | None], labels: np.ndarray, steps: int = 120, l2: float
     """Fit on a sample that fits in memory; a document's lines weigh together as much as any other's."""
     y = np.asarray(labels, float)
     model = QualityModel(np.zeros(3 * len(FEATURES) * BINS), np.zeros((2, 2)), np.zeros(2), float(y.mean()) if len(y) else 0.5)
-    doc, _, bins = lines_of(texts)
+    parts, at = [], 0
+    while at < len(texts):  # a bounded share of the sample's bytes at a time
+        end, held = at, 0
+        while end < len(texts) and (end == at or held < SCORED_BYTES):
+            held += len(texts[end] or "")
+            end += 1
+        doc, _, bins = lines_of(texts[at:end])
+        parts.append((doc + at, bins.astype(np.int16)))
+        at = end
+    doc, bins = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), None)
     if not len(doc):
         return model
     index = neighbours(doc, bins)
