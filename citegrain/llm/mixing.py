@@ -131,6 +131,8 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[float, ...] = WEIGHTS, s
 
 
 def repeated(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with all their columns; `copies` has (doc_id, copies)."""
-    n = copies.groupBy("doc_id").agg(F.sum("copies").alias("_copies"))
-    return docs.join(n, "doc_id").where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_copy").select(*docs.columns)
+    """The documents as often as the mix takes them, with all their columns; `copies` has (doc_id, copies).
+    Rows that share an id share its copies evenly, rounded up."""
+    n = copies.groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_copies"))
+    joined = docs.join(n, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

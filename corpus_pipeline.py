@@ -1,18 +1,61 @@
-"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and returns the next stage's documents."""
+"""Corpus pipeline: toxic documents go, near duplicates go, personal data gets pseudonyms, sources are
+mixed to their weights, and what is left becomes token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns the next stage's documents, with the columns of
+documents; the last one returns ids and the text that they decode to.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citegrain.llm.bpe import bpe_encode, id_digest
+from citegrain.llm.bpe import bpe_decode, bpe_encode
 from citegrain.llm.common import materialize, table
+from citegrain.llm.jaccard import jaccard_components
+from citegrain.llm.mixing import mix, repeated
+from citegrain.llm.pii import pseudonymize
+from citegrain.llm.registry import PII_KEY, toxicity_model
+from citegrain.llm.training import with_score
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below 0.5, empty ones among them."""
+    scored = with_score(docs, toxicity_model(spark, sf_dir), docs.columns, name="_toxic")
+    return scored.where(F.col("_toxic") < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by similarity 0.8 on five-word shingles, the document of the smallest id.
+    Rows that repeat an id stay or go together; rows without an id stay."""
+    groups = jaccard_components(docs, width=5, threshold="0.8")
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms, and their lengths."""
+    return pseudonymize(docs, PII_KEY, found=None).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return repeated(docs, mix(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return id_digest(bpe_encode(docs))
+    """(doc_id, n_tokens, ids, text): the ids, and the text decoded from them."""
+    return bpe_decode(bpe_encode(docs)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("pii", replace_personal_data),
+    ("mixing", mix_sources),
+    ("byte_level_bpe", encode),
+]
+#: No SQL expresses a trained classifier, keyed pseudonyms or drawn copies; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
