@@ -103,7 +103,7 @@ query("replay_events", f"WITH {_LISTED} SELECT turn_id, CAST(i AS INT) AS seq, t
 
 def _fold_stream(spark, d):
     events = K.replay_events(X.answers(spark, d), X.sources(spark, d))
-    return K.run_available(K.fold_events_stream(spark.readStream.schema(events.schema).parquet(written(events, "log")))).where("error IS NULL").drop("error")
+    return K.run_available(K.fold_events_stream(spark.readStream.schema(events.schema).parquet(written(events, "log")), None)).where("error IS NULL").drop("error")
 
 
 def _requests_stream(spark, d):

@@ -51,8 +51,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     return good.join(tokens, "turn_id", "left").join(merge_source_events(events), "turn_id", "left").select("turn_id", F.coalesce(answer, F.lit("")).alias("answer"), F.greatest(F.coalesce(F.size("urls"), F.lit(0)), F.lit(0)).cast("long").alias("n_sources"))
 
 
-def fold_events_stream(events: DataFrame, idle_ms: int = 300_000) -> DataFrame:
-    """The stream twin of `fold_events`; a turn idle for too long comes out with error 'timeout'."""
+def fold_events_stream(events: DataFrame, idle_ms: int | None = 300_000) -> DataFrame:
+    """The stream twin of `fold_events`; a turn idle for too long comes out with error 'timeout'. A run over what
+    is there now (`run_available`) takes idle_ms=None, as Spark goes on making batches while a timeout is set."""
     import json
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -75,13 +76,14 @@ def fold_events_stream(events: DataFrame, idle_ms: int = 300_000) -> DataFrame:
                 elif kind == "done" and not error:
                     out.append((key[0], answer, len(seen), None))
             state.update((answer, json.dumps(seen), error))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
             if out:
                 state.remove()
         yield pd.DataFrame(out, columns=["turn_id", "answer", "n_sources", "error"])
 
     schema = "turn_id bigint, answer string, n_sources bigint, error string"
-    return events.groupBy("turn_id").applyInPandasWithState(fold, schema, "answer string, urls string, error boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("turn_id").applyInPandasWithState(fold, schema, "answer string, urls string, error boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def rate_limit_stream(events: DataFrame, duration_s: int = DEFAULTS.rate_window_s, limit: int = DEFAULTS.rate_limit) -> DataFrame:
