@@ -28,6 +28,6 @@ def rows(table, columns):
 @pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - STREAMS | {"rate_limit_stream"}))
 def test_query_equals_its_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, DATA).toArrow()
-    want = duck.execute(catalog.ORACLES[name]).fetch_arrow_table()
+    want = duck.execute(catalog.ORACLES[name]).to_arrow_table()
     assert sorted(got.column_names) == sorted(want.column_names)
     assert rows(got, sorted(got.column_names)) == rows(want, sorted(got.column_names))
