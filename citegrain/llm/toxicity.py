@@ -32,15 +32,18 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def gram_ids(words: list[str], share: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams of each word, hashed n-grams one word after another) of non-empty words."""
-    n, ids = [], []
-    for word in words:
-        padded = f" {word} ".encode()
-        found = {xxhash.xxh32_intdigest(padded[i : i + k]) & (1 << BITS) - 1 for k in ORDERS for i in range(len(padded) - k + 1)}
-        n.append(len(found))
-        ids.extend(found)
-    return np.array(n, np.int64), np.array(ids, np.int64)
+    n, ids = [], [np.empty(0, np.int32)]
+    for at in range(0, len(words), share):
+        told: list[int] = []
+        for word in words[at : at + share]:
+            padded = f" {word} ".encode()
+            found = {xxhash.xxh32_intdigest(padded[i : i + k]) & (1 << BITS) - 1 for k in ORDERS for i in range(len(padded) - k + 1)}
+            n.append(len(found))
+            told.extend(found)
+        ids.append(np.array(told, np.int32))
+    return np.array(n, np.int32), np.concatenate(ids)
 
 
 @dataclass
@@ -76,22 +79,27 @@ class Scorer:
 def fit(texts: list[str | None], labels: np.ndarray, steps: int = 100, l2: float = 1e-5, alpha: float = 1.0, rate: float = 0.05) -> ToxicityModel:
     """Fit on a sample that fits in memory."""
     y = np.asarray(labels, float)
-    docs = [sorted(words_of(t)) for t in texts]
+    names: dict[str, str] = {}  # one object for each word, however many documents hold it
+    docs = [[names.setdefault(w, w) for w in sorted(words_of(t))] for t in texts]
+    del names
     if len(y) == 0 or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         return ToxicityModel(np.zeros(1 << BITS), float(np.log(p / (1 - p))))
     vocabulary = sorted(set().union(*docs))
     place = dict(zip(vocabulary, range(len(vocabulary))))
     n_words = np.array([len(d) for d in docs])
-    row = np.repeat(np.arange(len(docs)), n_words)
-    word = np.array([place[w] for d in docs for w in d], np.int64)
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), n_words)
+    word = np.fromiter((place[w] for d in docs for w in d), np.int32, int(n_words.sum()))
+    n_docs, n_vocabulary = len(docs), len(vocabulary)
+    del docs, place
     n, gram = gram_ids(vocabulary)
-    owner = np.repeat(np.arange(len(vocabulary)), n)
+    del vocabulary
+    owner = np.repeat(np.arange(n_vocabulary, dtype=np.int32), n)
     scale = 1 / np.sqrt(np.maximum(1, n_words))
 
     def down(per_doc: np.ndarray) -> np.ndarray:
         """Sums over documents to sums over n-grams."""
-        per_word = np.bincount(word, per_doc[row], len(vocabulary))
+        per_word = np.bincount(word, per_doc[row], n_vocabulary)
         return np.bincount(gram, per_word[owner], 1 << BITS)
 
     toxic, clean = down(scale * y) + alpha, down(scale * (1 - y)) + alpha
@@ -99,8 +107,8 @@ def fit(texts: list[str | None], labels: np.ndarray, steps: int = 100, l2: float
     theta, bias = np.zeros(1 << BITS), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
     for t in range(1, steps + 1):
-        per_word = np.bincount(owner, (theta * ratio)[gram], len(vocabulary))
-        z = np.bincount(row, per_word[word], len(docs)) * scale + bias
+        per_word = np.bincount(owner, (theta * ratio)[gram], n_vocabulary)
+        z = np.bincount(row, per_word[word], n_docs) * scale + bias
         error = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
         g = down(error * scale) * ratio / len(y) + l2 * theta
         gb = error.mean()
