@@ -10,7 +10,9 @@
 4. Links found are joined into components.
 
 Null and blank texts have the empty set, which links with nothing. Repeated rows are nodes of one set
-and so of one component. Nothing is dropped or capped: groups of any size are split, not cut.
+and so of one component. A row is known by its id and a hash of its text, so ids that are null or stand
+on several texts lose and invent no links. Nothing is dropped or capped: groups of any size are split,
+not cut.
 """
 
 from __future__ import annotations
@@ -150,9 +152,9 @@ def _forest(n: int, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def shingle_sets(df: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Rows of two kinds: a document (doc_id, n, key), or one part of a set (part, key). In a task, only
-    the first document of a set and the first set of a part tell; later sets of a part give an edge
-    (part null, key, other) to the first."""
+    """Rows of two kinds: a document (doc_id, n, key, the hash of its text as other), or one part of a set
+    (part, key). In a task, only the first document of a set and the first set of a part tell; later sets
+    of a part give an edge (part null, key, other) to the first. `df` has doc_id, text and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, told = Shingler(width), set()
@@ -173,7 +175,7 @@ def shingle_sets(df: DataFrame, width: int, t: Fraction) -> DataFrame:
                         owners.append(np.full(len(p), key, np.int64))
                 rows = len(n)
                 none = lambda k: pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none(rows), none(rows), pa.array([0] * rows, pa.int32())], NAMES)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none(rows), part.column(2), pa.array([0] * rows, pa.int32())], NAMES)
                 if parts:
                     p, o = np.concatenate(parts), np.concatenate(owners)
                     _, first, inverse = np.unique(p, return_index=True, return_inverse=True)
@@ -187,6 +189,7 @@ def shingle_sets(df: DataFrame, width: int, t: Fraction) -> DataFrame:
 
 
 NAMES = ["doc_id", "n", "key", "part", "other", "kind"]
+NO_ID = -(1 << 63)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +209,18 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(df: DataFrame, width: int) -> DataFrame:
-    """(key, block, chunks, packed shingles) from (key, block, chunks, packed text)."""
+    """(key, block, chunks, packed shingles) from (key, block, chunks, packed text); of rows of one key in
+    succession, the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, unpack = Shingler(width), zstandard.ZstdDecompressor()
+        shingler, unpack, last = Shingler(width), zstandard.ZstdDecompressor(), None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            fresh = np.concatenate([[keys[0] != last], keys[1:] != keys[:-1]])
+            last = keys[-1]
+            batch = batch.filter(pa.array(fresh))
             for part in slices(batch, column=3, most=1 << 20):
                 sets = [shingler(unpack.decompress(t).decode()).tobytes() for t in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["key", "block", "chunks", "shingles"])
@@ -218,35 +228,45 @@ def _sets_of(df: DataFrame, width: int) -> DataFrame:
     return df.select("key", "block", "chunks", "packed").mapInArrow(run, "key bigint, block bigint, chunks bigint, shingles binary")
 
 
-def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, packed): texts compressed, for shuffles that carry whole texts. Null texts: empty."""
+def packed(df: DataFrame) -> DataFrame:
+    """(id, hash, packed): texts compressed, for shuffles that carry whole texts. Null texts: empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], [id_col, "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["id", "hash", "packed"])
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` bigint, packed binary")
+    return df.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "hash", "text").mapInArrow(run, "id bigint, hash bigint, packed binary")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, threshold: str = "0.9", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): component_id is the smallest doc_id reachable by links
-    of similarity >= threshold; n_links counts a spanning set of the links of the document's set."""
+    of similarity >= threshold, null where no row reached has one; n_links counts a spanning set of the
+    links of the document's set."""
+    found = row_components(docs, width, threshold, id_col, text_col)
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "n_links")
+
+
+def row_components(docs: DataFrame, width: int, threshold: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, hash, n, root, component_id, n_links) of each row; hash is the text's xxhash64. Rows of one
+    root are linked, but for those without shingles (n = 0), which link with nothing."""
     t = Fraction(threshold)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     rows = materialize(shingle_sets(docs, width, t), "shingles")
-    nodes = rows.where("kind = 0").select("doc_id", "n", "key")
+    nodes = rows.where("kind = 0").select("doc_id", "n", "key", F.col("other").alias("hash"))
     # candidate components of sets that share a part; a part that one task alone saw makes no edge
     meet = rows.where("kind = 1").select("part", "key").repartition("part").sortWithinPartitions("part", "key").mapInArrow(_stars, "a bigint, b bigint")
     local = rows.where("kind = 2").select(F.col("key").alias("a"), F.col("other").alias("b"))
     blocks = materialize(components(meet.unionAll(local)), "blocks")
     # one document's text for each set of a block
-    firsts = nodes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    members = firsts.join(blocks.select(F.col("id").alias("key"), F.col("root").alias("block")), "key")
+    firsts = nodes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("hash", "doc_id"), F.min("hash")).alias("hash"), F.first("n").alias("n"))
+    members = firsts.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).join(blocks.select(F.col("id").alias("key"), F.col("root").alias("block")), "key")
     held = members.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
     members = materialize(members.join(held, "block"), "members")
     # members grow with the corpus: they are never broadcast, so the plan is the same at every size
-    texts = packed(docs).join(members.hint("merge"), "doc_id")
+    texts = packed(docs).join(members.hint("merge"), ["id", "hash"])
     sets = _sets_of(texts, width)
     chunk = F.pmod(F.xxhash64("key"), F.col("chunks"))
     other = F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))
@@ -257,7 +277,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: str = "0.9",
         keys, mine = group.column("key").to_numpy(), group.column("mine").to_numpy()
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
-        distinct = np.concatenate([[True], keys[1:] != keys[:-1]])  # a doc_id that stands on two rows
+        distinct = np.concatenate([[True], keys[1:] != keys[:-1]])  # a row that stands there twice
         here = np.flatnonzero(distinct & (mine == i))
         there = here if i == j else np.flatnonzero(distinct & (mine == j))
         found = links_between([sets[k] for k in here], [sets[k] for k in there], t, i == j)
@@ -269,7 +289,6 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: str = "0.9",
     ends = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     of_key = firsts.join(joined.select(F.col("id").alias("key"), "root"), "key", "left").join(ends, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = of_key.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(of_key.join(lowest, "root").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    named = materialize(of_key.join(lowest, "root").select("key", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     out = nodes.join(named, "key")
-    empty = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_links")).alias("n_links"))
+    return out.select("doc_id", "hash", "n", "root", "component_id", F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).alias("n_links"))

@@ -7,7 +7,7 @@ is integral. The words of a source are therefore kept exactly until a single fra
 left, and that one is rounded by its probability. Documents meet inside buckets first; the one
 residual of each bucket goes on to the next level of a reduction tree of fixed fan-in.
 
-Draws hash the documents' ids with the seed, so reruns agree. Documents without words take part and
+Draws hash the documents' ids and texts with the seed, so reruns agree. Documents without words take part and
 take nothing. Null texts have no words; null is a source of its own, last. Repeated rows are
 documents of their own. An empty table gives no rows.
 """
@@ -91,13 +91,13 @@ def meet(keys: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: int, last: bo
 
 
 def pivotal_copies(docs: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(id, source, size, source_size, target, copies) from rows (id, source, size, source_size, target)."""
+    """(id, hash, source, size, source_size, target, copies) from rows (id, hash, source, size, source_size, target)."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     dealt = docs.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("buckets"))
     most = dealt.agg(F.max("buckets")).first()[0] or 1
     rows = docs.join(dealt, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"),
-        F.xxhash64(F.lit(seed), "doc_id").alias("key"), "buckets", F.lit(False).alias("settled"),
+        "doc_id", "hash", "source", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"),
+        F.xxhash64(F.lit(seed), "doc_id", "hash").alias("key"), "buckets", F.lit(False).alias("settled"),
     )
     schema = rows.schema
 
@@ -117,12 +117,12 @@ def pivotal_copies(docs: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_RO
             break
         rows = done.where("not settled").withColumn("buckets", F.ceil(F.col("buckets") / bucket_rows))
         most = -(-most // bucket_rows)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    return out.select("doc_id", "hash", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 42, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every document."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    """(doc_id, hash, source, size, source_size, target, copies) for every document; hash is its text's."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     sized = materialize(sized, "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "of")
@@ -131,8 +131,13 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[float, ...] = WEIGHTS, s
 
 
 def repeated(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with all their columns; `copies` has (doc_id, copies).
-    Rows that share an id share its copies evenly, rounded up."""
-    n = copies.groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_copies"))
-    joined = docs.join(n, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The documents as often as the mix takes them, with all their columns; `copies` has (doc_id, hash,
+    source, copies). Rows that share id, text and source share their copies as evenly as whole copies go."""
+    mine = ["_id", "_hash", "_source"]
+    n = copies.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    joined = docs.join(n.where("_copies > 0"), same)
+    at = F.row_number().over(Window.partitionBy(*mine).orderBy(*mine))
+    several = joined.where("_rows > 1").withColumn("_copies", F.expr("_copies div _rows") + (at <= F.col("_copies") % F.col("_rows")).cast("long"))
+    shared = joined.where("_rows = 1").unionByName(several).where("_copies > 0")
+    return shared.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citegrain.llm.bpe import bpe_decode, bpe_encode
 from citegrain.llm.common import materialize, table
-from citegrain.llm.jaccard import jaccard_components
+from citegrain.llm.jaccard import row_components
 from citegrain.llm.mixing import mix, repeated
 from citegrain.llm.pii import pseudonymize
 from citegrain.llm.registry import PII_KEY, toxicity_model
@@ -26,11 +26,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by similarity 0.8 on five-word shingles, the document of the smallest id.
-    Rows that repeat an id stay or go together; rows without an id stay."""
-    groups = jaccard_components(docs, width=5, threshold="0.8")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group linked by similarity 0.8 on five-word shingles, one row: of the smallest id, then of
+    the smallest hash of its text, then the smallest in its columns. Null ids come last. Rows without words
+    stay."""
+    rows = materialize(row_components(docs, width=5, threshold="0.8").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "n", "root"), "groups")
+    counted = rows.where("n > 0").groupBy("root", "_id", "_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    least = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash", "_rows")).alias("_least")
+    kept = counted.groupBy("root").agg(least).select("_least._id", "_least._hash", "_least._rows")
+    without = rows.where("n = 0").select("_id", "_hash").distinct().withColumn("_rows", F.lit(1).cast("long"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.xxhash64("text"))
+    held = materialize(docs.join(kept.unionAll(without), same).select(*docs.columns, "_id", "_hash", "_rows"), "held")
+    one = held.where("_rows > 1").groupBy("_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return held.where("_rows = 1").select(*docs.columns).unionByName(one)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,6 +113,51 @@ def test_jaccard_components_equal_brute_force(spark, width, threshold, monkeypat
         assert (r.component_id, r.n_shingles) == (want[r.doc_id], len(sets[r.doc_id]))
 
 
+def rows_without_own_ids():
+    """(doc_id, text, lang, source): ids that are null or stand on several texts, a bridge over a null id, repeated rows."""
+    rng = random.Random(11)
+    rows = [(i, t, "x", "a") for i, t in enumerate([None, "", " \n", "lone words here"])] + [(None, None, "x", "a")] * 2
+    for i in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+        near = " ".join([*words[:-1], "v"])
+        far = " ".join([*words[:-1], "v", *(f"u{i}{j}" for j in range(3))])
+        rows += [(20 + i, " ".join(words), "x", "a"), (None, near, "x", "b"), (20 + (i + 1) % 12, far, "x", "b")]
+        rows += [(None, near, "x", "b")] * (i % 3) + [(20 + i, " ".join(words), "y", "a")] * (i % 2)
+    rows += [(None, "only null ids hold these words", "x", "c")] * 3 + [(5, "five on one text", "x", "c"), (5, "five on quite another text", "x", "c")]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_rows_without_own_ids_link_and_go_as_by_brute_force(spark):
+    import corpus_pipeline
+
+    rows = rows_without_own_ids()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    for width, threshold in ((3, "0.9"), (5, "0.8")):
+        roots, sets = brute_components([r[1] for r in rows], width, float(threshold))
+        least = {root: min((rows[i][0] for i in range(len(rows)) if roots[i] == root and rows[i][0] is not None), default=None) for root in roots}
+        want = Counter((r[0], len(s), least[root] if s else r[0]) for r, s, root in zip(rows, sets, roots))
+        assert want == Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, width, threshold).collect())
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert not Counter(kept) - Counter(rows)
+    assert Counter(r for r in kept if not (r[1] or "").split()) == Counter(r for r in rows if not (r[1] or "").split())
+    of_text = {r[1]: root for r, root in zip(rows, roots)}
+    held = [(of_text[t], i) for i, t, *_ in kept if (t or "").split()]
+    assert sorted(held, key=str) == sorted(((root, least[root]) for root in {root for root, s in zip(roots, sets) if s}), key=str)
+
+
+def test_rows_without_own_ids_keep_their_copies(spark):
+    rows = rows_without_own_ids()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    copies = mixing.materialize(mixing.mix(docs), "copies")
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = Counter()
+    for r in copies.collect():
+        want[r.doc_id, r.hash, r.source] += r.copies
+    got = Counter((r.doc_id, hashes[r.text], r.source) for r in mixing.repeated(docs, copies).collect())
+    assert got == +want and copies.count() == len(rows)
+
+
 def test_divide_skip_finds_all():
     rng = np.random.default_rng(5)
     lists = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(40)]
