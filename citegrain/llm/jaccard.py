@@ -7,7 +7,8 @@
 3. Inside a candidate component, cut into chunks of bounded size that meet pairwise, each set searches
    the inverted lists of the others: DivideSkip merges its short lists, probes its long lists by
    binary search, and keeps the sets that reach the overlap T; an exact similarity test follows.
-4. Links found are joined into components.
+4. Links found are joined into components, for which a spanning forest of each chunk pair's is enough;
+   they are counted before that cut.
 
 Null and blank texts have the empty set, which links with nothing. Repeated rows are nodes of one set
 and so of one component. A row is known by its id and a hash of its text, so ids that are null or stand
@@ -209,8 +210,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(df: DataFrame, width: int) -> DataFrame:
-    """(key, block, chunks, packed shingles) from (key, block, chunks, packed text); of rows of one key in
-    succession, the first."""
+    """(key, block, chunks, copies, packed shingles) from (key, block, chunks, copies, packed text); of rows of
+    one key in succession, the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, unpack, last = Shingler(width), zstandard.ZstdDecompressor(), None
@@ -221,11 +222,11 @@ def _sets_of(df: DataFrame, width: int) -> DataFrame:
             fresh = np.concatenate([[keys[0] != last], keys[1:] != keys[:-1]])
             last = keys[-1]
             batch = batch.filter(pa.array(fresh))
-            for part in slices(batch, column=3, most=1 << 20):
-                sets = [shingler(unpack.decompress(t).decode()).tobytes() for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["key", "block", "chunks", "shingles"])
+            for part in slices(batch, column=4, most=1 << 20):
+                sets = [shingler(unpack.decompress(t).decode()).tobytes() for t in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], ["key", "block", "chunks", "copies", "shingles"])
 
-    return df.select("key", "block", "chunks", "packed").mapInArrow(run, "key bigint, block bigint, chunks bigint, shingles binary")
+    return df.select("key", "block", "chunks", "copies", "packed").mapInArrow(run, "key bigint, block bigint, chunks bigint, copies bigint, shingles binary")
 
 
 def packed(df: DataFrame) -> DataFrame:
@@ -241,8 +242,8 @@ def packed(df: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 3, threshold: str = "0.9", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): component_id is the smallest doc_id reachable by links
-    of similarity >= threshold, null where no row reached has one; n_links counts a spanning set of the
-    links of the document's set."""
+    of similarity >= threshold, null where no row reached has one; n_links is the number of other rows
+    whose similarity to this one is >= threshold, copies among them."""
     found = row_components(docs, width, threshold, id_col, text_col)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "n_links")
@@ -261,7 +262,7 @@ def row_components(docs: DataFrame, width: int, threshold: str, id_col: str = "d
     local = rows.where("kind = 2").select(F.col("key").alias("a"), F.col("other").alias("b"))
     blocks = materialize(components(meet.unionAll(local)), "blocks")
     # one document's text for each set of a block
-    firsts = nodes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("hash", "doc_id"), F.min("hash")).alias("hash"), F.first("n").alias("n"))
+    firsts = nodes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("hash", "doc_id"), F.min("hash")).alias("hash"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     members = firsts.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).join(blocks.select(F.col("id").alias("key"), F.col("root").alias("block")), "key")
     held = members.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
     members = materialize(members.join(held, "block"), "members")
@@ -270,7 +271,7 @@ def row_components(docs: DataFrame, width: int, threshold: str, id_col: str = "d
     sets = _sets_of(texts, width)
     chunk = F.pmod(F.xxhash64("key"), F.col("chunks"))
     other = F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))
-    met = sets.withColumn("mine", chunk).select("*", other.alias("other")).select("block", "key", "mine", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    met = sets.withColumn("mine", chunk).select("*", other.alias("other")).select("block", "key", "mine", "copies", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def search(group: pa.Table) -> pa.Table:
         group = group.sort_by("key").combine_chunks()
@@ -281,14 +282,23 @@ def row_components(docs: DataFrame, width: int, threshold: str, id_col: str = "d
         here = np.flatnonzero(distinct & (mine == i))
         there = here if i == j else np.flatnonzero(distinct & (mine == j))
         found = links_between([sets[k] for k in here], [sets[k] for k in there], t, i == j)
-        forest = _forest(len(keys), [(int(there[q]), int(here[p])) for q, p in found])
-        return pa.table({"a": pa.array([int(keys[x]) for x, _ in forest], pa.int64()), "b": pa.array([int(keys[y]) for _, y in forest], pa.int64())})
-
-    links = materialize(met.groupBy("block", "i", "j").applyInArrow(lambda g: search(g), "a bigint, b bigint"), "links")
-    joined = components(links)
-    ends = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+        pairs = [(int(there[q]), int(here[p])) for q, p in found]
+        copies, n_links = group.column("copies").to_pylist(), [0] * len(keys)
+        for x, y in pairs:
+            n_links[x] += copies[y]
+            n_links[y] += copies[x]
+        forest = _forest(len(keys), pairs)
+        linked = [x for x, n in enumerate(n_links) if n]
+        a, b = keys[[*(x for x, _ in forest), *linked]], [*(int(keys[y]) for _, y in forest), *[None] * len(linked)]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([None] * len(forest) + [n_links[x] for x in linked], pa.int64())})
+
+    # two kinds of rows: a link (a, b), and how many rows a set links to in a chunk pair (a, n)
+    links = materialize(met.groupBy("block", "i", "j").applyInArrow(lambda g: search(g), "a bigint, b bigint, n bigint"), "links")
+    joined = components(links.where("n IS NULL").select("a", "b"))
+    # two sets meet in one chunk pair only, so the sum counts no link twice
+    ends = links.where("n IS NOT NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     of_key = firsts.join(joined.select(F.col("id").alias("key"), "root"), "key", "left").join(ends, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = of_key.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(of_key.join(lowest, "root").select("key", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    named = materialize(of_key.join(lowest, "root").select("key", "root", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
     out = nodes.join(named, "key")
     return out.select("doc_id", "hash", "n", "root", "component_id", F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).alias("n_links"))

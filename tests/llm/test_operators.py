@@ -113,6 +113,20 @@ def test_jaccard_components_equal_brute_force(spark, width, threshold, monkeypat
         assert (r.component_id, r.n_shingles) == (want[r.doc_id], len(sets[r.doc_id]))
 
 
+def test_jaccard_links_are_counted_as_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", 4)
+    rng = random.Random(12)
+    texts = [None, None, "", "lone words here"] + ["exact copies of one text"] * 3
+    for size in (3, 20):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(90)]
+        texts += [" ".join([*words, f"u{i}"]) for i in range(size)] * rng.choice([1, 2])
+        texts += [" ".join([*words, *(f"v{i}{j}" for j in range(rng.randint(0, 9)))]) for i in range(size)]
+    sets = [set(Shingler(3)(t).tolist()) for t in texts]
+    want = {i: sum(i != j and len(s & r) > 0 and 10 * len(s & r) >= 9 * len(s | r) for j, r in enumerate(sets)) for i, s in enumerate(sets)}
+    assert want[4] == 2 and len(set(want.values())) > 5
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(frame(spark, texts), 3, "0.9").collect()} == want
+
+
 def rows_without_own_ids():
     """(doc_id, text, lang, source): ids that are null or stand on several texts, a bridge over a null id, repeated rows."""
     rng = random.Random(11)
