@@ -6,6 +6,10 @@ network with cycle walking, and the result is written back in the same layout, c
 The permutation depends on the key and the value alone, so equal values keep one pseudonym in all
 documents, and who has the key can undo it. The key is a secret of the caller's.
 
+A card or IBAN that runs on into other groups is tried shorter, down to each separator, and from later
+groups on. Such tries take only cards in groups of four digits and more, but for the last, as any row of
+small numbers holds sums that check. Where two numbers touch, undoing can meet another split.
+
 Null texts stay null with 0 found; texts without a match are returned as they are. Texts of any
 length are searched whole; repeated rows get equal results. All other columns pass through; a column
 called like an added one is replaced.
@@ -58,8 +62,22 @@ def permute(rank: int, size: int, key: bytes, tweak: str, undo: bool = False) ->
 Step = Callable[[int, int, str], int]  #: (rank, size, tweak) to the new rank
 
 
+#: Longer values are spelled in blocks.
+SPELLED_CHARS = 200
+
+
 def _spelled(value: str, step: Step, tweak: str, hexadecimal: bool = False) -> str:
-    """Letters become letters of their case, digits digits; other characters stay."""
+    """Letters become letters of their case, digits digits; other characters stay. Blocks are linked by
+    both spellings of those before, in an order that is the same when undone."""
+    out = []
+    for at in range(0, len(value), SPELLED_CHARS):
+        block = value[at : at + SPELLED_CHARS]
+        out.append(_spelled_block(block, step, tweak, hexadecimal))
+        tweak = blake2b("\0".join([tweak, *sorted([block, out[-1]])]).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return "".join(out)
+
+
+def _spelled_block(value: str, step: Step, tweak: str, hexadecimal: bool) -> str:
     groups = ["0123456789abcdef"] if hexadecimal else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     alphabet = [next((g for g in groups if c in g), "") for c in value]
     rank, size = 0, 1
@@ -90,10 +108,15 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
-def _card(value: str, step: Step) -> str | None:
+def _is_card(value: str) -> bool:
     digits = re.sub(r"\D", "", value)
-    if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def _card(value: str, step: Step) -> str | None:
+    if not _is_card(value):
         return None
+    digits = re.sub(r"\D", "", value)
     body = digits[0] + f"{step(int(digits[1:-1]), 10 ** (len(digits) - 2), f'card:{len(digits)}'):0{len(digits) - 2}d}"
     return _refill(value, body + luhn_digit(body))
 
@@ -125,13 +148,21 @@ def _ssn(value: str, step: Step) -> str | None:
     return f"{area + (area >= 666):03d}-{group:02d}-{serial:04d}"
 
 
-def _iban(value: str, step: Step) -> str | None:
+def _number(s: str) -> int:
+    return int("".join(str(int(c, 36)) for c in s))
+
+
+def _is_iban(value: str) -> bool:
     plain = value.replace(" ", "")
-    number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+    return 15 <= len(plain) <= 34 and _number(plain[4:] + plain[:4]) % 97 == 1
+
+
+def _iban(value: str, step: Step) -> str | None:
+    if not _is_iban(value):
         return None
+    plain = value.replace(" ", "")
     body = _spelled(plain[4:], step, f"iban:{plain[:2]}")
-    new = plain[:2] + f"{98 - number(body + plain[:2] + '00') % 97:02d}" + body
+    new = plain[:2] + f"{98 - _number(body + plain[:2] + '00') % 97:02d}" + body
     left = iter(new)
     return "".join(c if c == " " else next(left) for c in value)
 
@@ -175,7 +206,7 @@ def _secret(value: str, step: Step) -> str:
 _AFTER = r"(?![\w@])"
 _RULES: list[tuple[str, re.Pattern, Callable[[str, Step], str | None]]] = [
     ("secret", re.compile(r"\bAKIA([0-9A-Z]{16})\b"), _secret),
-    ("secret", re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s?[=:]\s?[\"']?)([^\s\"',;]{6,200})"), _secret),
+    ("secret", re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s?[=:]\s?[\"']?)([^\s\"',;]{6,})"), _secret),
     ("iban", re.compile(r"(?<!\w)([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), _iban),
     ("ip", re.compile(r"(?<![\w.])((?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?!\w|\.\d)"), _ip),
     ("date", re.compile(r"(?<![\w/.-])(\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])"), _date),
@@ -190,6 +221,42 @@ _WORTH = re.compile(r"[\d@]")
 _NAMED = re.compile(r"(?i)password|passwd|pwd|secret|token|api[_-]?key")
 
 
+_GROUPED = {_card: _is_card, _iban: _is_iban}
+_CARD_GROUPS = re.compile(r"(?:\d{4,}[ -])*\d+")
+
+
+def _grouped(text: str, kind: str, pattern: re.Pattern, write: Callable[[str, Step], str | None]) -> Iterator[tuple[int, int, str, Callable[[str, Step], str | None]]]:
+    """Candidates that pass their check, the longest from each start; those that don't are tried shorter."""
+    valid, at, failed, run = _GROUPED[write], 0, [], -1
+    while m := pattern.search(text, at):
+        start, end = m.span(1)
+        first, at = start > run, end  # later starts in what has failed are tried like shorter ends
+        ends = [end, *(k for k in range(end - 1, start, -1) if text[k] in " -")]
+        for k in ends:
+            value = text[start:k]
+            if (not first or k < end) and kind == "card" and not _CARD_GROUPS.fullmatch(value):
+                continue
+            if valid(value):
+                near = [(a, b) for a, b in failed[-1000:] if a < k and b > start]
+
+                def walked(value: str, step: Step, start: int = start, k: int = k, near: list = near) -> str | None:
+                    """A value beside which all that failed before it still fails, so that it is found when undone."""
+                    new = write(value, step)
+                    while new is not None and any(valid(text[a:start] + new[max(0, a - start) : b - start] + text[k:b]) for a, b in near):
+                        new = write(new, step)
+                    return new
+
+                yield start, k, kind, walked
+                at = k
+                break
+            failed.append((start, k))
+        else:
+            run = max(run, end)
+            gap = min((k for k in range(start, end) if text[k] in " -"), default=None)
+            if gap is not None:
+                at = gap + 1
+
+
 def find(text: str) -> Iterator[tuple[int, int, str, Callable[[str, Step], str | None]]]:
     """Candidates (start, end, kind, how to write it anew), those of higher priority first."""
     at = text.find("@")
@@ -201,7 +268,9 @@ def find(text: str) -> Iterator[tuple[int, int, str, Callable[[str, Step], str |
         at = text.find("@", at + 1)
     named = bool(_NAMED.search(text))
     for kind, pattern, write in _RULES:
-        if kind != "secret" or named or "AKIA" in text:
+        if write in _GROUPED:
+            yield from _grouped(text, kind, pattern, write)
+        elif kind != "secret" or named or "AKIA" in text:
             for m in pattern.finditer(text):
                 yield *m.span(1), kind, write
 
