@@ -62,7 +62,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity.fit(*labelled_sample(documents, labels, "toxic", residue(5) != 0, toxicity.TRAIN_DOCS))
+    texts, toxic = labelled_sample(documents, labels, "toxic", residue(5) != 0, toxicity.TRAIN_DOCS)
+    return toxicity.fit(texts, toxic) if len(texts) else toxicity.without_labels()
 
 
 @query

@@ -76,6 +76,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total + self.model.bias, -60, 60)))
 
 
+def without_labels() -> ToxicityModel:
+    """The model of a query whose training table has no rows: nothing says that any document is toxic."""
+    return ToxicityModel(np.zeros(1 << BITS), float(np.log(1e-3 / (1 - 1e-3))))
+
+
 def fit(texts: list[str | None], labels: np.ndarray, steps: int = 100, l2: float = 1e-5, alpha: float = 1.0, rate: float = 0.05) -> ToxicityModel:
     """Fit on a sample that fits in memory."""
     y = np.asarray(labels, float)

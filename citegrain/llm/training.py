@@ -24,12 +24,25 @@ def residue(divisor: int, id_col: str = "doc_id"):
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, allowed, most_docs: int, most_chars: int = TRAIN_CHARS) -> tuple[list[str | None], np.ndarray]:
     """(texts, labels): of the rows of `labels` that `allowed` admits and that have a label, the first
-    `most_docs` by a hash of their ids, cut where their texts exceed `most_chars` together."""
+    `most_docs` by a hash of their ids, without the rows that `most_chars` has no room for beside those
+    before them."""
     order = F.xxhash64(F.lit("sample"), "doc_id")
     # sorting on two columns also breaks ties; the sample is small by its bound, so it can be broadcast
     chosen = labels.where(allowed & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"), order.alias("h")).orderBy("h", "doc_id").limit(most_docs)
-    running = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("chars", running).where(F.col("chars") <= most_chars).select("text", "y").toArrow()
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = 0
+        for batch in batches:
+            fits = []
+            for n in batch.column(0).to_pylist():
+                fits.append(held + n <= most_chars)
+                held += n if fits[-1] else 0
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits, pa.bool_())) for c in batch.columns[1:]], ["text", "y"])
+
+    chars = F.coalesce(F.length("text"), F.lit(0)).alias("chars")
+    able = documents.select("doc_id", "text", chars).where(F.col("chars") <= most_chars).join(F.broadcast(chosen), "doc_id")
+    ordered = able.repartition(1).sortWithinPartitions("h", "doc_id", "chars", F.xxhash64("text")).select("chars", "text", "y")
+    rows = ordered.mapInArrow(fitting, able.select("text", "y").schema).toArrow()
     return rows.column("text").to_pylist(), rows.column("y").to_numpy()
 
 

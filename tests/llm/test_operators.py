@@ -289,6 +289,21 @@ def test_classifiers_hold_out(spark):
     assert toxicity.fit([], np.array([])).scorer()(["x"])[0] == pytest.approx(0.5) and quality.fit([], np.array([]))(["x"])[0] == pytest.approx(0.5)
 
 
+def test_training_sample_outlives_long_rows_and_empty_labels(spark, tmp_path):
+    import corpus_pipeline
+    from citegrain.llm import training
+
+    documents = spark.createDataFrame([(i, "long " * 400 if i % 5 == 0 else f"text {i}") for i in range(30)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
+    texts, y = training.labelled_sample(documents, labels, "toxic", F.lit(True), 100, most_chars=500)
+    assert sorted(texts) == sorted(f"text {i}" for i in range(30) if i % 5) and len(y) == 24
+    tight, _ = training.labelled_sample(documents, labels, "toxic", F.lit(True), 100, most_chars=2050)
+    assert sum(map(len, tight)) <= 2050 and len(tight) > 1
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, documents, str(tmp_path)).count() == 30
+
+
 def test_crf_marginals_equal_enumeration():
     rng = np.random.default_rng(8)
     emission, transition, start = rng.normal(size=4), rng.normal(size=(2, 2)), rng.normal(size=2)
