@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) from edges (a, b): root is the smallest id reachable. Nulls and loops make no edge;
-    ids without an edge aren't in the result."""
+    ids without an edge aren't in the result. Rounds go on until nothing changes."""
 
     def canonical(e: DataFrame) -> DataFrame:
         pairs = e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -23,7 +23,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
     current = materialize(canonical(edges), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: a node's larger neighbours join the smallest of its neighbourhood
         both = current.select("a", "b").unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

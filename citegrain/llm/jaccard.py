@@ -1,246 +1,311 @@
 """Exact n-gram Jaccard self-join with T-occurrence search.
 
-1. Texts become sets of hashed shingles; documents of one set are one node.
-2. Nodes that may link are brought together. Sets whose similarity reaches t differ in at most
-   H = (1 - t) / (1 + t) * (|x| + |y|) shingles, so if the shingles of both are dealt by hash into
-   H + 1 parts, one part is equal in both. Equal parts make candidate components; this loses no link.
-3. Inside a candidate component, cut into chunks of bounded size that meet pairwise, each set searches
-   the inverted lists of the others: DivideSkip merges its short lists, probes its long lists by
-   binary search, and keeps the sets that reach the overlap T; an exact similarity test follows.
-4. Links found are joined into components, for which a spanning forest of each chunk pair's is enough;
-   they are counted before that cut.
+1. Texts become sets of hashed shingles; rows of one set are one node.
+2. An inverted index holds each set's rarest shingles: shingles are ordered by hash, very common ones
+   after all others. Of sets whose similarity reaches t, the first |x| - ceil(t |x|) + l shingles share l
+   at least. Lists of one set go; so do sets that share too few of their shingles with any other.
+3. Stars: each list's smallest set is searched against those that share l shingles with it. Sets linked
+   so far are clusters, so that a large group of near copies costs about its links to representatives.
+4. Clusters that share l shingles meet: the members of the smaller one are searched against the larger.
+   For numbers of links, a cluster's members are searched against each other, too.
+
+A search keeps sets as their differences from the core of the searched ones (shingles that most of these
+hold), so lists of a group of near copies are short. With D the differences and w = |D| - h |x|, h = (1 - t) / (1 + t),
+x and y link if and only if w(x) + w(y) <= 2 |D(x) & D(y)|. Pairs with w(x) + w(y) <= 0 are counted by rank; for
+the others DivideSkip merges the short lists on a heap, skipping, and probes the long ones by binary search.
 
 Null and blank texts have the empty set, which links with nothing. Repeated rows are nodes of one set
 and so of one component. A row is known by its id and a hash of its text, so ids that are null or stand
-on several texts lose and invent no links. Nothing is dropped or capped: groups of any size are split,
-not cut.
+on several texts lose and invent no links. Nothing is dropped or capped: groups of any size are split
+into chunks, not cut. Which shingles are very common decides work, never results.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
 from .components import components
-from .shingles import Shingler, mixed, set_key
+from .shingles import Shingler, set_key
 
-#: A chunk's share of documents and of shingles, at about.
-CHUNK_DOCS, CHUNK_SHINGLES = 256, 400_000
-#: Sizes in a size class differ by this factor at most.
-CLASS_RATIO = 1.5
+#: Sets and shingles of a chunk, at about; sets that meet one representative in a task.
+CHUNK_DOCS, CHUNK_SHINGLES, STAR_DOCS = 4096, 1 << 20, 512
+#: The table of very common shingles has so many at most; in a task, those of so many sets count.
+COMMON, COMMON_SETS = 1 << 17, 4
 #: DivideSkip's cost of a binary probe against a heap step.
 MU = 0.05
+NO_ID = -(1 << 63)
+
+
+def shared_at_least(n: int, t: Fraction) -> int:
+    """l: how many shingles of their prefixes two linked sets of n or more shingles share."""
+    return 1 + (n - math.ceil(t * n) + 1) // 2
+
+
+def _shared(n: Column, t: Fraction) -> Column:
+    p, q = t.numerator, t.denominator
+    return F.floor((n - F.floor((p * n + (q - 1)) / q) + 3) / 2)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, t: Fraction) -> np.ndarray:
+    """The shingles under which a set is indexed: in ascending order, very common ones last."""
+    n = len(shingles)
+    at = np.minimum(np.searchsorted(common, shingles), max(0, len(common) - 1))
+    late = common[at] == shingles if len(common) else np.zeros(n, bool)
+    ordered = np.concatenate([shingles[~late], shingles[late]])
+    return ordered[: n - math.ceil(t * n) + shared_at_least(n, t)]
 
 
-def size_classes(n: int, t: Fraction) -> list[tuple[int, int]]:
-    """(class, largest size in it) of the classes where sets of size n meet their partners."""
-    out = []
-    for k in (size_class(n), size_class(n) + 1):
-        low, high = class_start(k), class_start(k + 1) - 1
-        if low <= n or n >= t * low:
-            out.append((k, high))
-    return out
-
-
-def class_start(k: int) -> int:
-    return k + 1 if k < 4 else math.floor(5 * CLASS_RATIO ** (k - 4))
-
-
-def size_class(n: int) -> int:
-    k = 0 if n < 5 else max(0, 3 + int(math.log(n / 5) / math.log(CLASS_RATIO)))
-    while class_start(k + 1) <= n:
-        k += 1
-    while class_start(k) > n:
-        k -= 1
-    return k
-
-
-def n_parts(high: int, t: Fraction) -> tuple[int, int]:
-    """(parts, how many of them may be empty) for sets of up to `high` shingles. Linked sets differ in at
-    most `differ` parts; the spare parts are there so that empty ones needn't count as equal."""
-    differ = math.floor((1 - t) / (1 + t) * 2 * high)
-    spare = 1 + -(-differ // 64) if differ else 0
-    return differ + 1 + spare, spare
-
-
-def part_keys(shingles: np.ndarray, t: Fraction) -> np.ndarray:
-    """Keys of a set's parts in each of its size classes. Empty parts have keys only in a set with more of
-    them than may be empty: any other set shares a part that isn't empty with each set that it links to."""
-    out = []
-    for k, high in size_classes(len(shingles), t):
-        parts, spare = n_parts(high, t)
-        with np.errstate(over="ignore"):
-            m = mixed(shingles + np.uint64(0x5851F42D4C957F2D))
-            at = ((m >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            # exact sums of halves: each addend is below 2^32 and there are fewer than 2^20 of them
-            high_half = np.bincount(at, (mixed(m) >> np.uint64(32)).astype(float), parts)
-            low_half = np.bincount(at, (mixed(m) & np.uint64(0xFFFFFFFF)).astype(float), parts)
-            key = mixed(mixed(high_half.astype(np.uint64)) ^ low_half.astype(np.uint64) ^ (np.arange(parts, dtype=np.uint64) << np.uint64(20)) ^ (np.uint64(k) << np.uint64(52)))
-        filled = np.bincount(at, minlength=parts) > 0
-        out.append(key if parts - filled.sum() > spare else key[filled])
-    return np.concatenate(out).view(np.int64)
-
-
-def divide_skip(lists: list[np.ndarray], need: int) -> list[tuple[int, int]]:
-    """(id, overlap) of the ids that stand in at least `need` of the query's inverted lists."""
+def divide_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
+    """(id, overlap) of the ids that stand in at least `need` of the sorted lists."""
     if need > len(lists):
         return []
     lists = sorted(lists, key=len)
-    longest = max(2, len(lists[-1]))
-    n_long = min(need - 1, int(need / (MU * math.log2(longest) + 1)))
+    n_long = min(need - 1, int(need / (MU * math.log2(max(2, len(lists[-1]))) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    floor = need - n_long
-    # the sorted runs are merged by a stable sort, which is a merge of runs
-    merged = np.sort(np.concatenate(short), kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
-    counts = np.diff(np.concatenate([starts, [len(merged)]]))
-    ids, counts = merged[starts][counts >= floor], counts[counts >= floor]
-    for left, probed in zip(range(len(long) - 1, -1, -1), long):
-        at = np.minimum(np.searchsorted(probed, ids), len(probed) - 1)
-        counts += probed[at] == ids
-        on = counts + left >= need
-        ids, counts = ids[on], counts[on]
-        if not len(ids):
-            break
-    return list(zip(ids.tolist(), counts.tolist()))
-
-
-def links_between(index: list[np.ndarray], queries: list[np.ndarray], t: Fraction, same: bool) -> list[tuple[int, int]]:
-    """(query, index) positions of all pairs whose similarity reaches t; with `same`, each pair once."""
-    if not index or not queries:
-        return []
-    owner = np.repeat(np.arange(len(index)), [len(s) for s in index])
-    flat = np.concatenate(index)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    sizes = np.array([len(s) for s in index])
-    out = []
-    for q, query in enumerate(queries):
-        first, last = np.searchsorted(flat, query), np.searchsorted(flat, query, "right")
-        lists = [owner[a:b] for a, b in zip(first.tolist(), last.tolist()) if b > a]
-        # overlap >= t / (1 + t) * (|x| + |y|) and |y| >= t * |x|
-        for i, overlap in divide_skip(lists, max(1, math.ceil(t * len(query)))):
-            if not (same and i >= q) and overlap >= t * (len(query) + int(sizes[i]) - overlap):
-                out.append((q, i))
-    return out
-
-
-def _forest(n: int, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of the pairs, those that first connect two nodes."""
-    up = list(range(n))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
+    least = need - n_long
+    heap = [(ids[0], k, 0) for k, ids in enumerate(short)]
+    heapq.heapify(heap)
+    found = []
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= least:
+            overlap = len(popped)
+            for left, ids in zip(range(n_long, 0, -1), long):
+                if overlap + left < need:
+                    break
+                at = bisect_left(ids, top)
+                overlap += at < len(ids) and ids[at] == top
+            if overlap >= need:
+                found.append((top, overlap))
+            ahead = [(k, at + 1) for _, k, at in popped]
+        else:
+            # ids below the next top stand in fewer than `least` short lists: skip them
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
+                break
+            ahead = [(k, bisect_left(short[k], heap[0][0], at)) for _, k, at in popped]
+        for k, at in ahead:
+            if at < len(short[k]):
+                heapq.heappush(heap, (short[k][at], k, at))
+    return found
+
+
+class Joined:
+    """Edges of a spanning forest."""
+
+    def __init__(self, n: int):
+        self.up, self.edges = list(range(n)), []
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
         return x
 
-    kept = []
-    for a, b in pairs:
-        x, y = root(a), root(b)
+    def add(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
         if x != y:
-            up[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
+            self.up[max(x, y)] = min(x, y)
+            self.edges.append((a, b))
+
+
+def search(sets: list[np.ndarray], copies: np.ndarray, n_index: int, t: Fraction) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(a spanning forest of the links, rows that each set links to) between the first `n_index` sets and the
+    others, or among themselves where there are no others."""
+    same, n = n_index == len(sets), len(sets)
+    asked = range(n_index) if same else range(n_index, n)
+    flat, times = np.unique(np.concatenate(sets[:n_index]), return_counts=True)
+    core = flat[2 * times > n_index]
+    apart = [np.setxor1d(s, core, assume_unique=True) for s in sets]
+    p, q = t.numerator, t.denominator
+    w = np.array([(q + p) * len(d) - (q - p) * len(s) for d, s in zip(apart, sets)])
+    links, forest = np.zeros(n, np.int64), Joined(n)
+    sides = [(np.arange(n_index), np.asarray(asked))] if same else [(np.arange(n_index), np.asarray(asked)), (np.asarray(asked), np.arange(n_index))]
+    after = None
+    for there, here in sides:
+        # w(x) + w(y) <= 0: a run of the sets in the order of w, all linked with its first
+        order = there[np.argsort(w[there], kind="stable")]
+        upto = np.searchsorted(w[order], -w[here], "right")
+        links[here] += np.concatenate([[0], np.cumsum(copies[order])])[upto]
+        after = (w[order], upto) if after is None else after
+        for x in here[upto > 0].tolist():
+            forest.add(x, int(order[0]))
+    if same:
+        links -= np.where(2 * w <= 0, copies, 0)
+    ranked, upto = after
+    owner = np.repeat(np.arange(n_index), [len(d) for d in apart[:n_index]])
+    tokens = np.concatenate(apart[:n_index])
+    by_token = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[by_token], owner[by_token]
+    for x, k in zip(asked, upto.tolist()):
+        if k == n_index:
+            continue
+        need = max(1, -(-int(w[x] + ranked[k]) // (2 * (q + p))))
+        if need > len(apart[x]):
+            continue
+        first, last = np.searchsorted(tokens, apart[x]), np.searchsorted(tokens, apart[x], "right")
+        lists = [owner[a:b].tolist() for a, b in zip(first.tolist(), last.tolist()) if b > a]
+        for y, overlap in divide_skip(lists, need):
+            if (not same or y < x) and 0 < w[x] + w[y] <= 2 * (q + p) * overlap:
+                links[x] += copies[y]
+                links[y] += copies[x]
+                forest.add(x, y)
+    return forest.edges, links
 
 
-def shingle_sets(df: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Rows of two kinds: a document (doc_id, n, key, the hash of its text as other), or one part of a set
-    (part, key). In a task, only the first document of a set and the first set of a part tell; later sets
-    of a part give an edge (part null, key, other) to the first. `df` has doc_id, text and hash."""
+def _first_pass(df: DataFrame, width: int) -> DataFrame:
+    """Rows of two kinds from (doc_id, text, hash): a document (doc_id, n, key, hash), and shingles that several
+    sets of a task have (shingle, sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, told = Shingler(width), set()
+        shingler, told, held, size, sets = Shingler(width), set(), [], 0, 0
+        none = lambda k: pa.nulls(k, pa.int64())
+
+        def common() -> pa.RecordBatch:
+            shingles, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
+            on = n >= max(COMMON_SETS, sets / 2048)
+            k = int(on.sum())
+            columns = [none(k), none(k), none(k), none(k), pa.array(shingles[on].view(np.int64)), pa.array(n[on], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, FIRST)
+
         for batch in batches:
             for part in slices(batch):
-                n, keys, parts, owners = [], [], [], []
+                n, keys = [], []
                 for text in part.column(1).to_pylist():
                     s = shingler(text)
                     key = set_key(s)
                     n.append(len(s))
                     keys.append(key)
                     if len(s) and key not in told:
-                        if len(told) > 1_000_000:
-                            told.clear()
                         told.add(key)
-                        p = part_keys(s, t)
-                        parts.append(p)
-                        owners.append(np.full(len(p), key, np.int64))
-                rows = len(n)
-                none = lambda k: pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none(rows), part.column(2), pa.array([0] * rows, pa.int32())], NAMES)
-                if parts:
-                    p, o = np.concatenate(parts), np.concatenate(owners)
-                    _, first, inverse = np.unique(p, return_index=True, return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([none(len(first)), none(len(first)), pa.array(o[first]), pa.array(p[first]), none(len(first)), pa.array(np.ones(len(first), np.int32))], NAMES)
-                    edges = np.stack([o, o[first][inverse]], 1)
-                    edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
-                    if len(edges):
-                        yield pa.RecordBatch.from_arrays([none(len(edges)), none(len(edges)), pa.array(edges[:, 0]), none(len(edges)), pa.array(edges[:, 1]), pa.array(np.full(len(edges), 2, np.int32))], NAMES)
-
-    return df.mapInArrow(run, "doc_id bigint, n bigint, key bigint, part bigint, other bigint, kind int")
-
-
-NAMES = ["doc_id", "n", "key", "part", "other", "kind"]
-NO_ID = -(1 << 63)
+                        held.append(s)
+                        size, sets = size + len(s), sets + 1
+                k = len(n)
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), part.column(2), none(k), none(k)]
+                yield pa.RecordBatch.from_arrays(columns, FIRST)
+                if size > 4 << 20:
+                    yield common()
+                    told.clear()
+                    held, size, sets = [], 0, 0
+        yield common()
 
+    return df.select("doc_id", "text", "hash").mapInArrow(run, ", ".join(f"{c} bigint" for c in FIRST))
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (key, first key of its part) from rows in the order of parts and keys, as they stream by."""
-    part, first = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        parts, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        starts = np.flatnonzero(np.concatenate([[parts[0] != part], parts[1:] != parts[:-1]]))
-        run = np.searchsorted(starts, np.arange(len(parts)), "right") - 1
-        firsts = np.where(run >= 0, keys[starts[np.maximum(run, 0)]] if len(starts) else 0, first if first is not None else 0)
-        part, first = parts[-1], firsts[-1]
-        edges = np.stack([keys, firsts], 1)[keys != firsts]
-        edges = np.unique(edges, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
+FIRST = ["doc_id", "n", "key", "hash", "shingle", "sets"]
 
-def _sets_of(df: DataFrame, width: int) -> DataFrame:
-    """(key, block, chunks, copies, packed shingles) from (key, block, chunks, copies, packed text); of rows of
-    one key in succession, the first."""
+
+def _postings(df: DataFrame, width: int, t: Fraction, common: np.ndarray) -> DataFrame:
+    """(shingle, key) of each set's prefix; sets that a task has lately seen tell nothing."""
+    sent = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, unpack, last = Shingler(width), zstandard.ZstdDecompressor(), None
+        shingler, told = Shingler(width), set()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            fresh = np.concatenate([[keys[0] != last], keys[1:] != keys[:-1]])
-            last = keys[-1]
-            batch = batch.filter(pa.array(fresh))
-            for part in slices(batch, column=4, most=1 << 20):
-                sets = [shingler(unpack.decompress(t).decode()).tobytes() for t in part.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], ["key", "block", "chunks", "copies", "shingles"])
-
-    return df.select("key", "block", "chunks", "copies", "packed").mapInArrow(run, "key bigint, block bigint, chunks bigint, copies bigint, shingles binary")
+            for part in slices(batch, column=0):
+                found, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+                for text in part.column(0).to_pylist():
+                    s = shingler(text)
+                    key = set_key(s)
+                    if not len(s) or key in told:
+                        continue
+                    if len(told) > 1_000_000:
+                        told.clear()
+                    told.add(key)
+                    found.append(prefix(s, sent.value, t))
+                    keys.append(np.full(len(found[-1]), key))
+                columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys))]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "key"])
+
+    return df.select("text").mapInArrow(run, "shingle bigint, key bigint")
+
+
+def _in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (shingle, key) in order, the distinct rows whose shingle several keys have, as they stream by."""
+    shingles = keys = np.empty(0, np.int64)  # the last row, which the next one decides on
+    joined = False
+    for batch in batches:
+        shingles = np.concatenate([shingles, batch.column(0).to_numpy()])
+        keys = np.concatenate([keys, batch.column(1).to_numpy()])
+        alike = shingles[1:] == shingles[:-1]
+        fresh = np.concatenate([[True], ~(alike & (keys[1:] == keys[:-1]))])[: len(keys)]
+        shingles, keys = shingles[fresh], keys[fresh]
+        if not len(keys):
+            continue
+        alike = shingles[1:] == shingles[:-1]
+        on = np.concatenate([[joined], alike]) | np.concatenate([alike, [False]])
+        yield pa.RecordBatch.from_arrays([pa.array(shingles[:-1][on[:-1]]), pa.array(keys[:-1][on[:-1]])], ["shingle", "key"])
+        joined, shingles, keys = bool(on[-1]), shingles[-1:], keys[-1:]
+    if joined:
+        yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(keys)], ["shingle", "key"])
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """(id, hash, packed): texts compressed, for shuffles that carry whole texts. Null texts: empty."""
+    """(id, hash, packed): texts compressed, for shuffles that carry whole texts; null texts are empty. Rows of
+    an id and text that a task has lately seen tell nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, told = zstandard.ZstdCompressor(level=1), set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["id", "hash", "packed"])
+            for part in slices(batch, column=2):
+                rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                if len(told) > 1_000_000:
+                    told.clear()
+                on = []
+                for row in rows:
+                    on.append(row not in told)
+                    told.add(row)
+                part = part.filter(pa.array(on, pa.bool_()))
+                data = [pack.compress((text or "").encode()) for text in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(data, pa.binary())], ["id", "hash", "packed"])
 
     return df.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "hash", "text").mapInArrow(run, "id bigint, hash bigint, packed binary")
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, threshold: str = "0.9", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _searched(asked: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Links of the groups in `asked` (block, kind, i, j, key, copies, other): between the rows that aren't other and
+    those that are, or among the former. Rows are of two kinds: an edge (a, b), and how many rows a set links to (a, n)."""
+    within = ["block", "kind", "i", "j"]
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("other", "ascending"), ("key", "ascending")]).combine_chunks()
+        keys, other = group.column("key").to_numpy(), group.column("other").to_numpy(zero_copy_only=False)
+        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (other[1:] != other[:-1])])  # a row can stand there twice
+        group, keys, other = group.filter(pa.array(fresh)), keys[fresh], other[fresh]
+        n_index, among = int((~other).sum()), group.column("kind")[0].as_py() == 0 and group.column("i")[0] == group.column("j")[0]
+        edges, links = [], np.zeros(len(keys), np.int64)
+        if n_index and (among or n_index < len(keys)):
+            shingler, unpack = Shingler(width), zstandard.ZstdDecompressor()
+            sets = [shingler(unpack.decompress(x).decode()) for x in group.column("packed").to_pylist()]
+            edges, links = search(sets, group.column("copies").to_numpy(), n_index, t)
+        on = np.flatnonzero(links)
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        none = lambda k: pa.nulls(k, pa.int64())
+        a = pa.array(np.concatenate([keys[ends[:, 0]], keys[on]]))
+        b = pa.chunked_array([pa.array(keys[ends[:, 1]]), none(len(on))])
+        return pa.table({"a": a, "b": b, "n": pa.chunked_array([none(len(ends)), pa.array(links[on])])})
+
+    rows = asked.join(texts, "key").select(*within, "key", "copies", "other", "packed")
+    return rows.groupBy(*within).applyInArrow(lambda g: run(g), "a bigint, b bigint, n bigint")
+
+
+def jaccard_components(
+    docs: DataFrame, width: int = 3, threshold: str = "0.9", id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): component_id is the smallest doc_id reachable by links
     of similarity >= threshold, null where no row reached has one; n_links is the number of other rows
     whose similarity to this one is >= threshold, copies among them."""
@@ -249,56 +314,91 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: str = "0.9",
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "n_links")
 
 
-def row_components(docs: DataFrame, width: int, threshold: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _dealt(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """`rows` with `chunk` and `chunks`: rows of one value of `by` dealt to chunks of about `most`."""
+    n = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / most).alias("chunks"))
+    return rows.join(n, by).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+
+
+def row_components(
+    docs: DataFrame, width: int, threshold: str, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
+) -> DataFrame:
     """(doc_id, hash, n, root, component_id, n_links) of each row; hash is the text's xxhash64. Rows of one
-    root are linked, but for those without shingles (n = 0), which link with nothing."""
+    root are linked, but for those without shingles (n = 0), which link with nothing. Without `count_links`
+    n_links is null, and members of a cluster aren't searched against each other."""
     t = Fraction(threshold)
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
-    rows = materialize(shingle_sets(docs, width, t), "shingles")
-    nodes = rows.where("kind = 0").select("doc_id", "n", "key", F.col("other").alias("hash"))
-    # candidate components of sets that share a part; a part that one task alone saw makes no edge
-    meet = rows.where("kind = 1").select("part", "key").repartition("part").sortWithinPartitions("part", "key").mapInArrow(_stars, "a bigint, b bigint")
-    local = rows.where("kind = 2").select(F.col("key").alias("a"), F.col("other").alias("b"))
-    blocks = materialize(components(meet.unionAll(local)), "blocks")
-    # one document's text for each set of a block
-    firsts = nodes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("hash", "doc_id"), F.min("hash")).alias("hash"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    members = firsts.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).join(blocks.select(F.col("id").alias("key"), F.col("root").alias("block")), "key")
-    held = members.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
-    members = materialize(members.join(held, "block"), "members")
-    # members grow with the corpus: they are never broadcast, so the plan is the same at every size
-    texts = packed(docs).join(members.hint("merge"), ["id", "hash"])
-    sets = _sets_of(texts, width)
-    chunk = F.pmod(F.xxhash64("key"), F.col("chunks"))
-    other = F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))
-    met = sets.withColumn("mine", chunk).select("*", other.alias("other")).select("block", "key", "mine", "copies", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-
-    def search(group: pa.Table) -> pa.Table:
-        group = group.sort_by("key").combine_chunks()
-        keys, mine = group.column("key").to_numpy(), group.column("mine").to_numpy()
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
-        distinct = np.concatenate([[True], keys[1:] != keys[:-1]])  # a row that stands there twice
-        here = np.flatnonzero(distinct & (mine == i))
-        there = here if i == j else np.flatnonzero(distinct & (mine == j))
-        found = links_between([sets[k] for k in here], [sets[k] for k in there], t, i == j)
-        pairs = [(int(there[q]), int(here[p])) for q, p in found]
-        copies, n_links = group.column("copies").to_pylist(), [0] * len(keys)
-        for x, y in pairs:
-            n_links[x] += copies[y]
-            n_links[y] += copies[x]
-        forest = _forest(len(keys), pairs)
-        linked = [x for x, n in enumerate(n_links) if n]
-        a, b = keys[[*(x for x, _ in forest), *linked]], [*(int(keys[y]) for _, y in forest), *[None] * len(linked)]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([None] * len(forest) + [n_links[x] for x in linked], pa.int64())})
-
-    # two kinds of rows: a link (a, b), and how many rows a set links to in a chunk pair (a, n)
-    links = materialize(met.groupBy("block", "i", "j").applyInArrow(lambda g: search(g), "a bigint, b bigint, n bigint"), "links")
-    joined = components(links.where("n IS NULL").select("a", "b"))
-    # two sets meet in one chunk pair only, so the sum counts no link twice
+    rows = materialize(_first_pass(docs, width), "shingles")
+    nodes = rows.where("key IS NOT NULL").select("doc_id", "n", "key", "hash")
+    often = rows.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("sets").alias("sets"))
+    most = often.orderBy(F.col("sets").desc(), "shingle").limit(COMMON).select("shingle").toArrow()
+    common = np.sort(most.column("shingle").to_numpy().view(np.uint64))
+    # one document for each set
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "hash")).alias("row")
+    firsts = nodes.where("n > 0").groupBy("key").agg(row, F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
+    firsts = materialize(firsts.select("key", "n", "copies", "doc_id", "row.id", "row.hash"), "sets")
+
+    sorted_postings = _postings(docs, width, t, common).repartition("shingle").sortWithinPartitions("shingle", "key")
+    lists = materialize(sorted_postings.mapInArrow(_in_lists, "shingle bigint, key bigint"), "lists")
+    p, q = t.numerator, t.denominator
+    smallest = F.floor((p * F.col("n") + (q - 1)) / q)  # of a partner
+    alive = lists.groupBy("key").count().join(firsts, "key").where(F.col("count") >= _shared(smallest, t))
+    alive = materialize(alive.select("key", "n", "copies", "id", "hash", _shared(F.col("n"), t).alias("l")), "alive")
+    texts = materialize(packed(docs).join(alive.select("key", "id", "hash").hint("merge"), ["id", "hash"]).select("key", "packed"), "texts")
+
+    lists = lists.join(alive.select("key", "l"), "key")
+    leads = lists.groupBy("shingle").agg(F.min(F.struct("key", "l")).alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    lists = materialize(lists.join(leads, "shingle").select("shingle", "key", "l", F.col("lead.key").alias("lead"), F.col("lead.l").alias("lead_l")), "lists")
+    stars = lists.where("key <> lead").groupBy("lead", "key", F.least("l", "lead_l").alias("l")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= l")
+    stars = materialize(_dealt(stars.select("lead", "key"), "lead", STAR_DOCS), "stars")
+    one = F.lit(1).cast("long").alias("copies")
+    group = [F.col("lead").alias("block"), F.lit(1).alias("kind"), F.lit(0).alias("i"), F.col("chunk").alias("j")]
+    asked = stars.select(*group, "key", one, F.lit(True).alias("other"))
+    asked = asked.unionAll(stars.select("lead", "chunk").distinct().select(*group, F.col("lead").alias("key"), one, F.lit(False).alias("other")))
+    first_links = materialize(_searched(asked, texts, width, t).where("n IS NULL").select("a", "b"), "links")
+
+    # clusters of sets linked so far; those that share enough shingles meet, the smaller in the larger
+    of = components(first_links).select(F.col("id").alias("key"), "root")
+    members = materialize(alive.join(of, "key", "left").select("key", "n", "copies", "l", F.coalesce("root", "key").alias("block")), "members")
+    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks")
+    clusters = materialize(members.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.min("l").alias("l"), chunks), "clusters")
+    met = lists.select("shingle", "key").join(members.select("key", "block"), "key").select("shingle", "block").distinct()
+    met = materialize(met.join(clusters.select("block", "size", "l"), "block"), "met")
+    small, large = (met.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("block", "size", "l"))) for side in ("small", "large"))
+    pairs = small.join(large, "shingle").where("small_size < large_size OR small_size = large_size AND small_block < large_block")
+    pairs = pairs.groupBy("small_block", "large_block", "small_size", "large_size", F.least("small_l", "large_l").alias("l")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= l")
+    # two single sets that a star has searched needn't meet again
+    seen = stars.select(F.least("lead", "key").alias("small_block"), F.greatest("lead", "key").alias("large_block"), F.lit(1).cast("long").alias("large_size")).distinct()
+    visits = materialize(pairs.join(seen, ["small_block", "large_block", "large_size"], "left_anti").select("small_block", "large_block"), "visits")
+    visitors = visits.join(members.select(F.col("block").alias("small_block"), "key", "copies"), "small_block")
+    visitors = _dealt(visitors.select(F.col("large_block").alias("block"), "key", "copies"), "block", CHUNK_DOCS)
+    visitors = materialize(visitors.withColumnRenamed("chunks", "v_chunks").withColumnRenamed("chunk", "j"), "visitors")
+    homes = members.join(clusters.select("block", "size", "chunks"), "block").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    columns = ["block", "kind", "i", "j", "key", "copies", "other"]
+    hosts = homes.join(visitors.groupBy("block").agg(F.first("v_chunks").alias("v_chunks")), "block")
+    hosts = hosts.select("block", F.lit(1).alias("kind"), F.col("mine").alias("i"), _each("v_chunks").alias("j"), "key", "copies", F.lit(False).alias("other"))
+    guests = visitors.join(clusters.select("block", "chunks"), "block")
+    guests = guests.select("block", F.lit(1).alias("kind"), _each("chunks").alias("i"), "j", "key", "copies", F.lit(True).alias("other"))
+    asked = hosts.select(*columns).unionAll(guests.select(*columns))
+    if count_links:
+        own = homes.where("size > 1").select("block", "key", "copies", "mine", _each("chunks").alias("with"))
+        own = own.select("block", F.lit(0).alias("kind"), F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "key", "copies", (F.col("mine") > F.col("with")).alias("other"))
+        asked = asked.unionAll(own.select(*columns))
+    links = materialize(_searched(asked, texts, width, t), "links")
+
+    joined = components(first_links.unionAll(links.where("n IS NULL").select("a", "b")))
+    # two sets are searched against each other in one group only, so the sum counts no link twice
     ends = links.where("n IS NOT NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
-    of_key = firsts.join(joined.select(F.col("id").alias("key"), "root"), "key", "left").join(ends, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    of_key = firsts.select("key", "copies", "doc_id").join(joined.select(F.col("id").alias("key"), "root"), "key", "left").join(ends, "key", "left")
+    of_key = of_key.withColumn("root", F.coalesce("root", "key"))
     lowest = of_key.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(of_key.join(lowest, "root").select("key", "root", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
-    out = nodes.join(named, "key")
-    return out.select("doc_id", "hash", "n", "root", "component_id", F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).alias("n_links"))
+    n_links = F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1 if count_links else F.lit(None).cast("long")
+    named = materialize(of_key.join(lowest, "root").select("key", "root", "component_id", n_links.alias("n_links")), "named")
+    out = nodes.join(named, "key", "left")
+    zero = F.when(F.col("n") == 0, F.lit(0).cast("long")).otherwise(F.col("n_links")) if count_links else F.col("n_links")
+    return out.select("doc_id", "hash", "n", F.coalesce("root", F.lit(0).cast("long")).alias("root"), "component_id", zero.alias("n_links"))

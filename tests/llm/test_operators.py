@@ -177,7 +177,7 @@ def test_divide_skip_finds_all():
     lists = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(40)]
     counts = Counter(int(i) for x in lists for i in x)
     for need in (1, 5, 20, 30):
-        assert dict(jaccard.divide_skip(lists, need)) == {i: n for i, n in counts.items() if n >= need}
+        assert dict(jaccard.divide_skip([x.tolist() for x in lists], need)) == {i: n for i, n in counts.items() if n >= need}
 
 
 def test_components_of_chains_and_loops(spark):
