@@ -4,10 +4,11 @@
 2. An inverted index holds each set's rarest shingles: shingles are ordered by hash, very common ones
    after all others. Of sets whose similarity reaches t, the first |x| - ceil(t |x|) + l shingles share l
    at least. Lists of one set go; so do sets that share too few of their shingles with any other.
-3. Stars: each list's smallest set is searched against those that share l shingles with it. Sets linked
-   so far are clusters, so that a large group of near copies costs about its links to representatives.
-4. Clusters that share l shingles meet: the members of the smaller one are searched against the larger.
-   For numbers of links, a cluster's members are searched against each other, too.
+3. Sets that share l shingles with the smallest set of such a list are of one family: near copies are found
+   by stars, not pair by pair. Families of which members share one of their rarest listed shingles meet (of k
+   listed ones, l of which a link needs, the k - l + 1 in the shortest lists).
+4. A family's sets are searched against each other, and those of the smaller of two families that meet against
+   the larger's, in chunks of bounded size. Links found are joined into components.
 
 A search keeps sets as their differences from the core of the searched ones (shingles that most of these
 hold), so lists of a group of near copies are short. With D the differences and w = |D| - h |x|, h = (1 - t) / (1 + t),
@@ -31,15 +32,15 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
 from .components import components
 from .shingles import Shingler, set_key
 
-#: Sets and shingles of a chunk, at about; sets that meet one representative in a task.
-CHUNK_DOCS, CHUNK_SHINGLES, STAR_DOCS = 4096, 1 << 20, 512
+#: Sets and shingles of a chunk, at about.
+CHUNK_DOCS, CHUNK_SHINGLES = 4096, 1 << 20
 #: The table of very common shingles has so many at most; in a task, those of so many sets count.
 COMMON, COMMON_SETS = 1 << 17, 4
 #: DivideSkip's cost of a binary probe against a heap step.
@@ -325,11 +326,10 @@ def _each(n: str) -> Column:
 
 
 def row_components(
-    docs: DataFrame, width: int, threshold: str, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
+    docs: DataFrame, width: int, threshold: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, hash, n, root, component_id, n_links) of each row; hash is the text's xxhash64. Rows of one
-    root are linked, but for those without shingles (n = 0), which link with nothing. Without `count_links`
-    n_links is null, and members of a cluster aren't searched against each other."""
+    root are linked, but for those without shingles (n = 0), which link with nothing."""
     t = Fraction(threshold)
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
@@ -347,58 +347,56 @@ def row_components(
     lists = materialize(sorted_postings.mapInArrow(_in_lists, "shingle bigint, key bigint"), "lists")
     p, q = t.numerator, t.denominator
     smallest = F.floor((p * F.col("n") + (q - 1)) / q)  # of a partner
-    alive = lists.groupBy("key").count().join(firsts, "key").where(F.col("count") >= _shared(smallest, t))
-    alive = materialize(alive.select("key", "n", "copies", "id", "hash", _shared(F.col("n"), t).alias("l")), "alive")
-    texts = materialize(packed(docs).join(alive.select("key", "id", "hash").hint("merge"), ["id", "hash"]).select("key", "packed"), "texts")
+    alive = lists.groupBy("key").count().join(firsts, "key").withColumn("low", _shared(smallest, t)).where("count >= low")
+    alive = materialize(alive.select("key", "n", "copies", "id", "hash", "low", _shared(F.col("n"), t).alias("l")), "alive")
+    texts = packed(docs).join(alive.select("key", "id", "hash").hint("merge"), ["id", "hash"]).select("key", "packed")
+    texts = materialize(texts, "texts")
 
-    lists = lists.join(alive.select("key", "l"), "key")
+    lists = lists.join(alive.select("key", "l", "low"), "key")
     leads = lists.groupBy("shingle").agg(F.min(F.struct("key", "l")).alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    lists = materialize(lists.join(leads, "shingle").select("shingle", "key", "l", F.col("lead.key").alias("lead"), F.col("lead.l").alias("lead_l")), "lists")
-    stars = lists.where("key <> lead").groupBy("lead", "key", F.least("l", "lead_l").alias("l")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= l")
-    stars = materialize(_dealt(stars.select("lead", "key"), "lead", STAR_DOCS), "stars")
-    one = F.lit(1).cast("long").alias("copies")
-    group = [F.col("lead").alias("block"), F.lit(1).alias("kind"), F.lit(0).alias("i"), F.col("chunk").alias("j")]
-    asked = stars.select(*group, "key", one, F.lit(True).alias("other"))
-    asked = asked.unionAll(stars.select("lead", "chunk").distinct().select(*group, F.col("lead").alias("key"), one, F.lit(False).alias("other")))
-    first_links = materialize(_searched(asked, texts, width, t).where("n IS NULL").select("a", "b"), "links")
-
-    # clusters of sets linked so far; those that share enough shingles meet, the smaller in the larger
-    of = components(first_links).select(F.col("id").alias("key"), "root")
-    members = materialize(alive.join(of, "key", "left").select("key", "n", "copies", "l", F.coalesce("root", "key").alias("block")), "members")
+    lists = lists.join(leads, "shingle").select("shingle", "key", "l", "low", "sets", F.col("lead.key").alias("lead"), F.col("lead.l").alias("lead_l"))
+    lists = materialize(lists, "lists")
+    stars = lists.where("key <> lead").groupBy("lead", "key", F.least("l", "lead_l").alias("l")).agg(F.count(F.lit(1)).alias("shared"))
+    of = components(stars.where("shared >= l").select(F.col("lead").alias("a"), F.col("key").alias("b")))
+    of = of.select(F.col("id").alias("key"), "root")
+    members = materialize(alive.join(of, "key", "left").select("key", "n", "copies", F.coalesce("root", "key").alias("block")), "members")
     chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks")
-    clusters = materialize(members.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.min("l").alias("l"), chunks), "clusters")
-    met = lists.select("shingle", "key").join(members.select("key", "block"), "key").select("shingle", "block").distinct()
-    met = materialize(met.join(clusters.select("block", "size", "l"), "block"), "met")
-    small, large = (met.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("block", "size", "l"))) for side in ("small", "large"))
-    pairs = small.join(large, "shingle").where("small_size < large_size OR small_size = large_size AND small_block < large_block")
-    pairs = pairs.groupBy("small_block", "large_block", "small_size", "large_size", F.least("small_l", "large_l").alias("l")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= l")
-    # two single sets that a star has searched needn't meet again
-    seen = stars.select(F.least("lead", "key").alias("small_block"), F.greatest("lead", "key").alias("large_block"), F.lit(1).cast("long").alias("large_size")).distinct()
-    visits = materialize(pairs.join(seen, ["small_block", "large_block", "large_size"], "left_anti").select("small_block", "large_block"), "visits")
-    visitors = visits.join(members.select(F.col("block").alias("small_block"), "key", "copies"), "small_block")
-    visitors = _dealt(visitors.select(F.col("large_block").alias("block"), "key", "copies"), "block", CHUNK_DOCS)
-    visitors = materialize(visitors.withColumnRenamed("chunks", "v_chunks").withColumnRenamed("chunk", "j"), "visitors")
-    homes = members.join(clusters.select("block", "size", "chunks"), "block").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    families = materialize(members.groupBy("block").agg(F.count(F.lit(1)).alias("size"), chunks), "families")
+
+    # of a set's listed shingles, all but low - 1 of the longest lists: two linked sets share one of these
+    of_set = Window.partitionBy("key")
+    rare = lists.withColumn("at", F.row_number().over(of_set.orderBy("sets", "shingle"))).withColumn("all", F.count(F.lit(1)).over(of_set))
+    rare = rare.where("at <= all - low + 1").select("shingle", "key")
+    met = rare.join(members.select("key", "block"), "key").select("shingle", "block").distinct().join(families.select("block", "size"), "block")
+    met = materialize(met, "met")
+    small, large = (met.select("shingle", F.struct("size", "block").alias(side)) for side in ("small", "large"))
+    visits = small.join(large, "shingle").where("small < large").select("small.block", F.col("large.block").alias("host")).distinct()
+    visitors = materialize(visits, "visits").join(members.select("block", "key", "copies"), "block").drop("block")
+    visitors = materialize(_dealt(visitors.withColumnRenamed("host", "block"), "block", CHUNK_DOCS), "visitors")
+
+    homes = members.join(families.select("block", "size", "chunks"), "block")
+    homes = homes.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     columns = ["block", "kind", "i", "j", "key", "copies", "other"]
-    hosts = homes.join(visitors.groupBy("block").agg(F.first("v_chunks").alias("v_chunks")), "block")
-    hosts = hosts.select("block", F.lit(1).alias("kind"), F.col("mine").alias("i"), _each("v_chunks").alias("j"), "key", "copies", F.lit(False).alias("other"))
-    guests = visitors.join(clusters.select("block", "chunks"), "block")
-    guests = guests.select("block", F.lit(1).alias("kind"), _each("chunks").alias("i"), "j", "key", "copies", F.lit(True).alias("other"))
-    asked = hosts.select(*columns).unionAll(guests.select(*columns))
-    if count_links:
-        own = homes.where("size > 1").select("block", "key", "copies", "mine", _each("chunks").alias("with"))
-        own = own.select("block", F.lit(0).alias("kind"), F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "key", "copies", (F.col("mine") > F.col("with")).alias("other"))
-        asked = asked.unionAll(own.select(*columns))
+    own = homes.where("size > 1").select("block", "key", "copies", "mine", _each("chunks").alias("with"))
+    among = own.select(
+        "block", F.lit(0).alias("kind"), F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"),
+        "key", "copies", (F.col("mine") > F.col("with")).alias("other"),
+    )
+    guests = visitors.withColumnRenamed("chunks", "parts").join(families.select("block", "chunks"), "block")
+    guests = guests.select("block", F.lit(1).alias("kind"), _each("chunks").alias("i"), F.col("chunk").alias("j"), "key", "copies", F.lit(True).alias("other"))
+    hosts = homes.join(visitors.select("block", F.col("chunks").alias("parts")).distinct(), "block")
+    hosts = hosts.select("block", F.lit(1).alias("kind"), F.col("mine").alias("i"), _each("parts").alias("j"), "key", "copies", F.lit(False).alias("other"))
+    asked = among.select(*columns).unionAll(hosts.select(*columns)).unionAll(guests.select(*columns))
     links = materialize(_searched(asked, texts, width, t), "links")
 
-    joined = components(first_links.unionAll(links.where("n IS NULL").select("a", "b")))
+    joined = components(links.where("n IS NULL").select("a", "b"))
     # two sets are searched against each other in one group only, so the sum counts no link twice
     ends = links.where("n IS NOT NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     of_key = firsts.select("key", "copies", "doc_id").join(joined.select(F.col("id").alias("key"), "root"), "key", "left").join(ends, "key", "left")
     of_key = of_key.withColumn("root", F.coalesce("root", "key"))
     lowest = of_key.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    n_links = F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1 if count_links else F.lit(None).cast("long")
+    n_links = F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1
     named = materialize(of_key.join(lowest, "root").select("key", "root", "component_id", n_links.alias("n_links")), "named")
     out = nodes.join(named, "key", "left")
-    zero = F.when(F.col("n") == 0, F.lit(0).cast("long")).otherwise(F.col("n_links")) if count_links else F.col("n_links")
+    zero = F.when(F.col("n") == 0, F.lit(0).cast("long")).otherwise(F.col("n_links"))
     return out.select("doc_id", "hash", "n", F.coalesce("root", F.lit(0).cast("long")).alias("root"), "component_id", zero.alias("n_links"))
