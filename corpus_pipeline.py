@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group linked by similarity 0.8 on five-word shingles, one row: of the smallest id, then of
     the smallest hash of its text, then the smallest in its columns. Null ids come last. Rows without words
     stay."""
-    found = row_components(docs, width=5, threshold="0.8", count_links=False)
+    found = row_components(docs, width=5, threshold="0.8")
     rows = materialize(found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "n", "root"), "groups")
     counted = rows.where("n > 0").groupBy("root", "_id", "_hash").agg(F.count(F.lit(1)).alias("_rows"))
     least = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash", "_rows")).alias("_least")
