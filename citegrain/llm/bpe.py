@@ -28,9 +28,11 @@ from .common import local_path, slices, texts_of
 RANKS = "byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
 #: Units that a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED_UNITS = 800_000
+REMEMBERED_UNITS = 500_000
 #: Cells of a matrix.
 MATRIX_CELLS = 1 << 20
+#: Ids decoded at a time.
+DECODED_IDS = 1 << 20
 
 
 class PairTable:
@@ -254,15 +256,27 @@ def bpe_encode(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
+def _some_ids(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of (id, ids) with DECODED_IDS ids at about, one row at least."""
+    ends, start = batch.column(1).offsets.to_numpy(), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + DECODED_IDS, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def bpe_decode(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, ids, decoded binary): the bytes that each row's ids stand for. Null ids: no bytes."""
     pattern = pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(ranks, pattern).tokens
+        tokens = np.array(encoder(ranks, pattern).tokens, object)
         for batch in batches:
-            decoded = [b"".join([tokens[i] for i in ids or ()]) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
+            for part in _some_ids(batch):
+                rows = part.column(1)
+                flat, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
+                decoded = [b"".join(tokens[flat[a:b]].tolist()) for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), rows, pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
