@@ -41,8 +41,8 @@ from .shingles import Shingler, set_key
 
 #: Sets and shingles of a chunk, at about.
 CHUNK_DOCS, CHUNK_SHINGLES = 4096, 1 << 20
-#: The table of very common shingles has so many at most; in a task, those of so many sets count.
-COMMON, COMMON_SETS = 1 << 17, 4
+#: The table of very common shingles has so many at most; a task tells of those that so great a share of its sets have.
+COMMON, COMMON_SHARE = 1 << 17, 1 / 2048
 #: DivideSkip's cost of a binary probe against a heap step.
 MU = 0.05
 NO_ID = -(1 << 63)
@@ -178,7 +178,7 @@ def _first_pass(df: DataFrame, width: int) -> DataFrame:
 
         def common() -> pa.RecordBatch:
             shingles, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
-            on = n >= max(COMMON_SETS, sets / 2048)
+            on = n >= max(2, sets * COMMON_SHARE)
             k = int(on.sum())
             columns = [none(k), none(k), none(k), none(k), pa.array(shingles[on].view(np.int64)), pa.array(n[on], pa.int64())]
             return pa.RecordBatch.from_arrays(columns, FIRST)
