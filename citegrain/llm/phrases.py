@@ -9,43 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Bytes that the rolling hash sees.
 ROLL = 16
 
 
-class Hashes:
-    """Polynomial prefix hashes of one byte string: the hash of any span in constant time."""
-
-    def __init__(self, data: np.ndarray):
-        with np.errstate(over="ignore"):
-            n = len(data) + 1
-            self.power = np.full(n, BASE, np.uint64)
-            self.power[0] = 1
-            np.multiply.accumulate(self.power, out=self.power)
-            # h[i] = sum of data[j] * BASE ** (n - 1 - j) for j < i, so that spans compare after one product
-            self.h = np.zeros(n, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[n - 1 - np.arange(n - 1)], out=self.h[1:], dtype=np.uint64)
-
-    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Mixed 64-bit hashes of data[start:end], comparable across strings."""
-        with np.errstate(over="ignore"):
-            x = (self.h[end] - self.h[start]) * _inverse_powers(len(self.power))[len(self.power) - 1 - end]
-        return mix(x)
-
-
-_INVERSE = np.ones(1, np.uint64)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    global _INVERSE
-    if len(_INVERSE) < n:
-        with np.errstate(over="ignore"):
-            grown = np.full(max(n, 2 * len(_INVERSE)), pow(int(BASE), -1, 1 << 64), np.uint64)
-            grown[0] = 1
-            _INVERSE = np.multiply.accumulate(grown)
-    return _INVERSE
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -53,6 +20,17 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def rolling(data: bytes) -> np.ndarray:
+    """A hash of the ROLL bytes from each position, as integers that aren't negative."""
+    n = len(data) - 7
+    words = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        words[k::8] = np.frombuffer(data, "<u8", (n - k + 7) // 8, k)
+    with np.errstate(over="ignore"):
+        both = mix(words[:-8]) * np.uint64(0x9E3779B97F4A7C15) + words[8:]
+    return (mix(both) >> np.uint64(1)).astype(np.int64)
+
+
 def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     """Leftmost position of the minimum of x[i : i + width], for every i."""
     n = len(x) - width + 1
@@ -76,15 +54,17 @@ def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return np.where(same | (padded[left] <= padded[right]), left, right)
 
 
-def triggers(h: Hashes, size: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigger, first window, last window) for the runs of windows of `size` bytes with one trigger."""
-    n = len(h.power) - 1
-    if n < size:
+def triggers(data: bytes, starts: np.ndarray, ends: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigger, first window, last window) for the runs of windows of `size` bytes with one trigger, of windows
+    that lie in one of the stretches data[starts:ends], which are in order and don't overlap."""
+    long = ends - starts >= size
+    starts, counts = starts[long], (ends - starts)[long] - size + 1
+    if not len(starts):
         none = np.empty(0, np.int64)
         return none, none, none
-    at = np.arange(n - ROLL + 1)
-    roll = (h.span(at, at + ROLL) >> np.uint64(1)).astype(np.int64)
-    of = sliding_argmin(roll, reach)[: n - size + 1]
+    of = sliding_argmin(rolling(data), reach)
+    at = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    of = of[at]
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(of) - 1]])
-    return of[first], first, last
+    return of[first], at[first], at[last]

@@ -186,13 +186,12 @@ def test_components_of_chains_and_loops(spark):
     assert got == {i: 0 for i in range(41)} | {200: 150, 150: 150}
 
 
-def test_repeats_equal_brute_force(spark):
-    size = 400
-    base = random_texts(20, "ab", 900, 6)
-    texts = [*base, "ab" * 600, "x" * 401, "x" * 400, None, "", base[3], base[5][100:] + base[6][50:], base[7][:500] + "zz" + base[7][500:], "Orre " * 300, "é" * 450]
+def hold_repeats(spark, texts, size=400, **more):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + size] for r in raw for i in range(len(r) - size + 1))
-    for r in repeats.remove_repeats(frame(spark, texts, "removed"), size).collect():
+    got = repeats.remove_repeats(frame(spark, texts, "removed"), size, **more).collect()
+    assert len(got) == len(texts)
+    for r in got:
         data = raw[r.doc_id]
         gone = np.zeros(len(data), bool)
         for i in range(len(data) - size + 1):
@@ -202,6 +201,26 @@ def test_repeats_equal_brute_force(spark):
         assert sum(x.end - x.start for x in r.removed) == gone.sum() and r.n_bytes == len(data)
 
 
+def test_repeats_equal_brute_force(spark):
+    base = random_texts(20, "ab", 900, 6)
+    complement = lambda t: t.translate(str.maketrans("ab", "ba"))
+    morse = "a"
+    while len(morse) < 1024:
+        morse += complement(morse)
+    hold_repeats(spark, [*base, "ab" * 600, "x" * 401, "x" * 400, None, "", base[3], base[5][100:] + base[6][50:], base[7][:500] + "zz" + base[7][500:], "Orre " * 300, "é" * 450, morse, complement(morse)])
+
+
+@pytest.mark.parametrize("segment, paired", [(1 << 20, 64), (700, 64), (1 << 20, 2), (900, 3)])
+def test_repeats_of_passages_with_other_text_beside_them(spark, segment, paired):
+    rng = random.Random(14)
+    words = lambda n: " ".join(f"{rng.choice('abcd')}{rng.randint(0, 99)}" for _ in range(n))
+    passages = [words(n) for n in (90, 120, 150, 400)]
+    texts = [words(rng.randint(0, 60)) + p[rng.choice([0, 0, rng.randint(0, 90)]) :] + words(rng.randint(0, 200)) for p in passages for _ in range(12)]
+    near = passages[3].split()
+    texts += [" ".join(w if rng.random() > 0.01 else "changed" for w in near) for _ in range(12)]
+    hold_repeats(spark, texts, segment=segment, paired=paired)
+
+
 def test_pseudonyms_are_reversible_valid_and_linked(spark):
     key = b"0123456789abcdef"
     assert sorted(pii.permute(i, 97, key, "t") for i in range(97)) == list(range(97))
