@@ -28,7 +28,7 @@ from .common import local_path, slices, texts_of
 RANKS = "byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
 #: Units that a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED_UNITS = 500_000
+REMEMBERED_UNITS = 300_000
 #: Cells of a matrix.
 MATRIX_CELLS = 1 << 20
 #: Ids decoded at a time.
@@ -146,19 +146,30 @@ def merge_rows(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, byte_id
     return counts, gather((np.cumsum(n) - n)[order], n[order], flat)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(local_path(path), "rb") as file:
+        return {b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> np.ndarray:
+    """Tokens by id; ids that stand for none are empty."""
+    ranks = read_ranks(path)
+    tokens = np.full(max(ranks.values()) + 1, b"", object)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
 class Encoder:
     def __init__(self, path: str, pattern: str):
-        with open(local_path(path), "rb") as file:
-            self.ranks = {b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.ranks = read_ranks(path)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairTable(self.ranks)
         self.pattern = regex.compile(pattern)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -216,7 +227,7 @@ class Encoder:
         seen = set().union(*cut) if cut else set()
         fresh = seen - self.index.keys()
         if len(self.index) + len(fresh) > REMEMBERED_UNITS and self.index:
-            self._forget()
+            self.forget()
             fresh = seen
         if fresh:
             self._learn(list(fresh))
@@ -251,6 +262,7 @@ def bpe_encode(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id
             for part in slices(batch):
                 offsets, ids = enc.encode(texts_of(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [id_col, "ids"])
+        enc.forget()  # workers live on beside those of other stages
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -270,7 +282,7 @@ def bpe_decode(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id
     pattern = pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.array(encoder(ranks, pattern).tokens, object)
+        tokens = vocabulary(ranks)
         for batch in batches:
             for part in _some_ids(batch):
                 rows = part.column(1)
@@ -287,7 +299,7 @@ def id_digest(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id_
     pattern = pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.array(encoder(ranks, pattern).tokens, object)
+        tokens = vocabulary(ranks)
         words = np.array([b"%d " % i for i in range(len(tokens))], object)
         for batch in batches:
             rows = batch.column(1)
