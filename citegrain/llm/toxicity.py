@@ -4,7 +4,9 @@ A document's features are the n-grams of its distinct lower-cased words, each wo
 hashed to a fixed table; a feature counts the distinct words that hold it, so that length and
 repetition don't drown a few telling words. Training takes a bounded, hash-ordered sample of the
 labelled documents (`TRAIN_DOCS`), computes each feature's log-count ratio between the classes and
-fits an L2-regularised logistic regression to the scaled features.
+fits an L2-regularised logistic regression to the scaled features. So many features fit any sample
+without error, which leaves scores too near to the commoner class: a line through the log-odds that a
+model of one half gives the other half puts them right.
 
 Null and empty texts have no features and score the bias alone; very long texts are scored whole.
 Repeated rows score alike. A training table without both classes gives the constant model of its mean.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 #: Labelled documents that training takes at most, the first in the order of a hash of their ids.
 TRAIN_DOCS = 6000
 ORDERS, BITS = (2, 3, 4, 5), 18
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 250_000
 _WORD = re.compile(r"\w+")
 
 
@@ -61,7 +63,7 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.words = model, {}
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def log_odds(self, texts: list[str | None]) -> np.ndarray:
         found = [words_of(t) for t in texts]
         fresh = list(set().union(*found) - self.words.keys())
         if len(self.words) + len(fresh) > REMEMBERED_WORDS:
@@ -72,8 +74,10 @@ class Scorer:
             sums = np.add.reduceat(self.model.weights[ids], np.cumsum(n) - n)
             self.words.update(zip(fresh, sums.tolist()))
         get = self.words.__getitem__
-        total = np.array([sum(map(get, ws)) / np.sqrt(max(1, len(ws))) for ws in found])
-        return 1 / (1 + np.exp(-np.clip(total + self.model.bias, -60, 60)))
+        return np.array([sum(map(get, ws)) / np.sqrt(max(1, len(ws))) for ws in found]) + self.model.bias
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(texts), -60, 60)))
 
 
 def without_labels() -> ToxicityModel:
@@ -81,9 +85,34 @@ def without_labels() -> ToxicityModel:
     return ToxicityModel(np.zeros(1 << BITS), float(np.log(1e-3 / (1 - 1e-3))))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, steps: int = 100, l2: float = 1e-5, alpha: float = 1.0, rate: float = 0.05) -> ToxicityModel:
-    """Fit on a sample that fits in memory."""
+def calibration(log_odds: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """(slope, offset) of the likeliest probabilities 1 / (1 + exp(-(slope * log-odds + offset))), held near (1, 0)."""
+    slope, offset = 1.0, 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(slope * log_odds + offset, -60, 60)))
+        h = p * (1 - p)
+        gradient = np.array([((p - y) * log_odds).sum() + 0.1 * (slope - 1), (p - y).sum() + 0.1 * offset])
+        cross = (h * log_odds).sum()
+        step = np.linalg.solve(np.array([[(h * log_odds**2).sum() + 0.1, cross], [cross, h.sum() + 0.1]]), gradient)
+        step /= max(1.0, np.abs(step).max())
+        slope, offset = slope - step[0], offset - step[1]
+    return (slope, offset) if slope > 0 else (1.0, 0.0)
+
+
+def fit(texts: list[str | None], labels: np.ndarray, **how) -> ToxicityModel:
+    """Fit on a sample that fits in memory, with log-odds put right where both halves hold both classes."""
     y = np.asarray(labels, float)
+    part = np.arange(len(y)) % 2 == 0
+    slope, offset = 1.0, 0.0
+    if all(len(h) and h.min() < h.max() for h in (y[part], y[~part])):
+        score = uncalibrated([t for t, on in zip(texts, part) if on], y[part], **how).scorer()
+        slope, offset = calibration(score.log_odds([t for t, on in zip(texts, part) if not on]), y[~part])
+    model = uncalibrated(texts, y, **how)
+    return ToxicityModel(model.weights * np.float32(slope), model.bias * slope + offset)
+
+
+def uncalibrated(texts: list[str | None], y: np.ndarray, steps: int = 100, l2: float = 1e-3, alpha: float = 1.0, rate: float = 0.05) -> ToxicityModel:
+    """Fit by Adam steps on all rows at once."""
     names: dict[str, str] = {}  # one object for each word, however many documents hold it
     docs = [[names.setdefault(w, w) for w in sorted(words_of(t))] for t in texts]
     del names
