@@ -259,7 +259,7 @@ def bpe_encode(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks, pattern)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 20):
                 offsets, ids = enc.encode(texts_of(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [id_col, "ids"])
         enc.forget()  # workers live on beside those of other stages
