@@ -81,14 +81,13 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int = DEFAULTS.rerank_top_k
     """(query_id, rank, chunk_id, score): the best k passages of each query that share a content word with it.
     The queries' terms are joined to the passages' first, so only passages that match travel on."""
     counted = passages.select("chunk_id", T.words_in(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    stats = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    terms = counted.select("chunk_id", "len", F.explode("w").alias("term")).groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("len").alias("avg_len"))
     asked = queries.select("query_id", F.explode(T.content_words(F.col("text"))).alias("term")).distinct()
-    wanted = terms.join(asked.select("term").distinct(), "term", "left_semi")
-    idf = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs, avg_len = stats.first() or (0, 0.0)
-    rarity = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = rarity * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(avg_len or 1.0))))
+    terms = counted.select("chunk_id", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = terms.groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    idf = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
+    rarity = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = rarity * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = asked.join(wanted.join(idf, "term"), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return rerank(scored, k)
 
@@ -173,9 +172,9 @@ def doc_sources(docs: DataFrame, budget: int = DEFAULTS.max_chunks) -> DataFrame
     return full.withColumn("spent", spent).where("spent = 0").select("turn_id", "position", name.alias("name"), F.concat(F.lit("file://"), name).alias("url"), F.substring(F.trim("text"), 1, 160).alias("snippet"), F.greatest(F.least(F.col("n_chunks"), F.lit(budget) - F.col("before")), F.lit(0)).alias("chunks_taken"))
 
 
-def cosine_block_join(lookups: DataFrame, index: DataFrame, threshold: float, salts: int = 8) -> DataFrame:
-    """(query_id, candidate_id, similarity) of one bucket's vectors by blocked matrix products; the index side of a
-    bucket is dealt over `salts` tasks and the lookups are sent to each."""
+def cosine_block_join(lookups: DataFrame, index: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
+    """(query_id, candidate_id, similarity) of one bucket's vectors by blocked matrix products: both sides of a bucket
+    are dealt to blocks of about `block` vectors, and each block of lookups meets each block of the index."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "candidate_id", "similarity"]
@@ -190,10 +189,14 @@ def cosine_block_join(lookups: DataFrame, index: DataFrame, threshold: float, sa
         q, c, s = (np.concatenate(x) for x in zip(*out))
         return pa.table({"query_id": left.column("vec_id").take(pa.array(q)), "candidate_id": right.column("vec_id").take(pa.array(c)), "similarity": pa.array(s)})
 
-    a = lookups.alias("a").select("vec_id", "bucket", "e", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    b = index.select("vec_id", "bucket", "e", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"))
-    rename = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in ("bucket", "salt")], F.col("vec_id").alias("vec_id"), F.col("e").alias("e"))
-    a, b = rename(a, "a"), rename(b, "b")
-    return a.groupBy("a_bucket", "a_salt").cogroup(b.groupBy("b_bucket", "b_salt")).applyInArrow(lambda x, y: run(x, y), "query_id bigint, candidate_id bigint, similarity double")
+    n_blocks = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    blocks = n_blocks(lookups, "a_blocks").join(n_blocks(index, "b_blocks"), "bucket")
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    own = [F.col(c).alias(c) for c in ("vec_id", "e")]  # names of their own, as both sides may come of one table
+    a = lookups.join(blocks, "bucket").select(F.col("bucket").alias("a_bucket"), dealt("a_blocks").alias("a_i"), every("b_blocks").alias("a_j"), *own)
+    b = index.join(blocks, "bucket").select(F.col("bucket").alias("b_bucket"), every("a_blocks").alias("b_i"), dealt("b_blocks").alias("b_j"), *own)
+    pairs = a.groupBy("a_bucket", "a_i", "a_j").cogroup(b.groupBy("b_bucket", "b_i", "b_j"))
+    return pairs.applyInArrow(lambda x, y: run(x, y), "query_id bigint, candidate_id bigint, similarity double")
 
 

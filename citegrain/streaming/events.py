@@ -140,11 +140,12 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark: SparkSession = stream.sparkSession
     out, checkpoint = scratch(spark, "stream"), scratch(spark, "progress")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # a batch that is retried after a failure replaces what it wrote before
+        batch.write.mode("overwrite").parquet(f"{out}/{batch_id if mode == 'append' else 'all'}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
 persist_turns = run_available
