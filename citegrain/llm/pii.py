@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -281,12 +282,13 @@ def rewrite(text: str, step: Step) -> tuple[str, list[tuple[int, int, str]]]:
         return text, []
     taken: list[tuple[int, int, str, str]] = []
     for start, end, kind, write in find(text):
-        if all(end <= s or start >= e for s, e, _, _ in taken):
+        at = bisect_left(taken, (start,))  # spans taken don't overlap, so only the neighbours can
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
             new = write(text[start:end], step)
             if new is not None:
-                taken.append((start, end, kind, new))
+                taken.insert(at, (start, end, kind, new))
     out, spans, at, length = [], [], 0, 0
-    for start, end, kind, new in sorted(taken):
+    for start, end, kind, new in taken:
         out += [text[at:start], new]
         length += start - at
         spans.append((length, length + len(new), kind))
