@@ -252,10 +252,7 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def bpe_encode(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>): the ids of every whole text. Null text: empty; null id: kept."""
-    pattern = pattern or default_pattern()
-
+def _encoding(ranks: str, pattern: str, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks, pattern)
         for batch in batches:
@@ -264,7 +261,13 @@ def bpe_encode(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [id_col, "ids"])
         enc.forget()  # workers live on beside those of other stages
 
+    return run
+
+
+def bpe_encode(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>): the ids of every whole text. Null text: empty; null id: kept."""
     kind = df.schema[id_col].dataType.simpleString()
+    run = _encoding(ranks, pattern or default_pattern(), id_col)
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
@@ -277,10 +280,7 @@ def _some_ids(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def bpe_decode(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids, decoded binary): the bytes that each row's ids stand for. Null ids: no bytes."""
-    pattern = pattern or default_pattern()
-
+def _decoding(ranks: str, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(ranks)
         for batch in batches:
@@ -290,8 +290,20 @@ def bpe_decode(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id
                 decoded = [b"".join(tokens[flat[a:b]].tolist()) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), rows, pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
 
+    return run
+
+
+def bpe_decode(df: DataFrame, ranks: str = RANKS, id_col: str = "doc_id") -> DataFrame:
+    """(id, ids, decoded binary): the bytes that each row's ids stand for. Null ids: no bytes."""
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, "ids").mapInArrow(_decoding(ranks, id_col), f"`{id_col}` {kind}, ids array<int>, decoded binary")
+
+
+def bpe_round_trip(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bpe_decode(bpe_encode(df)) by one worker a task, a slice at a time, where two would pass the ids on."""
+    encode, decode = _encoding(ranks, pattern or default_pattern(), id_col), _decoding(ranks, id_col)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+    return df.select(id_col, text_col).mapInArrow(lambda batches: decode(encode(batches)), f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
 def id_digest(df: DataFrame, ranks: str = RANKS, pattern: str | None = None, id_col: str = "doc_id") -> DataFrame:
