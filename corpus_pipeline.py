@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm.bpe import bpe_decode, bpe_encode
+from citegrain.llm.bpe import bpe_round_trip
 from citegrain.llm.common import materialize, table
 from citegrain.llm.jaccard import row_components
 from citegrain.llm.mixing import mix, repeated
@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): the ids, and the text decoded from them."""
-    return bpe_decode(bpe_encode(docs)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
+    return bpe_round_trip(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [
