@@ -72,11 +72,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight variants of each benchmark item."""
     variant = """trim(CASE v WHEN 0 THEN s WHEN 1 THEN concat('best ', s) WHEN 2 THEN concat('worst ', s) WHEN 3 THEN concat(s, ' 3.11')
         WHEN 4 THEN concat(s, ' 3.12') WHEN 5 THEN concat('explain ', s) WHEN 6 THEN concat('alpha vs beta ', s) ELSE concat('beta vs alpha ', s) END)"""
-    return table(spark, sf_dir, "benchmark").selectExpr("item_id", "substr(lower(text), 1, 60) AS s", "explode(sequence(0L, 7L)) AS v").selectExpr("item_id * 8 + v AS q_id", "item_id", f"{variant} AS question")
-
-
-def semantic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(lookups, index): vectors by bucket, each with a question."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("bucket"), F.col("embedding").cast("array<double>").alias("e"), (F.col("vec_id") % 40).alias("q_id"))
-    rows = rows.join(questions(spark, sf_dir).select("q_id", "question"), "q_id").drop("q_id")
-    return rows.where("vec_id % 5 = 0"), rows.where("vec_id % 5 <> 0")
+    return table(spark, sf_dir, "benchmark").selectExpr("item_id", "lower(text) AS s", "explode(sequence(0L, 7L)) AS v").selectExpr("item_id * 8 + v AS q_id", "item_id", f"{variant} AS question")
+
+
+def semantic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lookups, index, answers): vectors by bucket, each with a question, forty vectors to a benchmark item; some
+    stored answers are stale, missing or blank."""
+    asked = questions(spark, sf_dir).select("q_id", "question")
+    n = asked.agg((F.max("q_id") + 1).alias("n"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("bucket"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = rows.join(F.broadcast(n)).withColumn("q_id", F.expr("(vec_id div 40 * 8 + vec_id % 8) % n")).join(asked, "q_id").drop("q_id", "n")
+    lookups = rows.where("vec_id % 5 = 0").withColumn("now", F.expr("1000 + vec_id % 50"))
+    index = rows.where("vec_id % 5 <> 0").selectExpr("*", "vec_id AS key", "1000 - vec_id % 20 * 15 AS t", "vec_id % 4 = 0 AS time_sensitive")
+    answers = index.where("vec_id % 7 <> 1").selectExpr("key", "CASE WHEN vec_id % 7 = 2 THEN ' ' ELSE question END AS answer")
+    return lookups, index, answers

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as T
+from .retrieval import cosine_block_join
 
 
 def is_cacheable(documents: Column, error: Column, answer: Column, sources: Column) -> Column:
@@ -112,20 +113,39 @@ def reuse_attribution(requests: DataFrame, key: str = "query") -> DataFrame:
     return ordered.mapInPandas(run, "event_id bigint, kind string, stored_event_id bigint, age_s bigint")
 
 
-def semantic_candidates(lookups: DataFrame, index: DataFrame, threshold: float = DEFAULTS.similarity, min_overlap: float = DEFAULTS.word_overlap) -> DataFrame:
-    """(query_id, candidate_id, similarity, matched_query, reason): pairs of one bucket that reach the threshold."""
-    a = lookups.select(F.col("vec_id").alias("query_id"), "bucket", F.col("e").alias("a"), F.col("question").alias("query"))
-    b = index.select(F.col("vec_id").alias("candidate_id"), "bucket", F.col("e").alias("b"), F.col("question").alias("matched_query"))
-    near = a.join(b, "bucket").withColumn("similarity", F.round(cosine(F.col("a"), F.col("b")), 5)).where(F.col("similarity") >= threshold)
-    return near.select("query_id", "candidate_id", "similarity", "matched_query", T.rejection_reason(F.col("query"), F.col("matched_query"), min_overlap).alias("reason"))
+def semantic_candidates(
+    lookups: DataFrame, index: DataFrame, threshold: float = DEFAULTS.similarity, min_overlap: float = DEFAULTS.word_overlap, max_age_s: int = DEFAULTS.semantic_age_s
+) -> DataFrame:
+    """(query_id, candidate_id, key, similarity, matched_query, reason, stale): pairs of one bucket that reach the
+    threshold. reason is the guards' rejection; stale marks a time-sensitive answer (null: it is) of more than `max_age_s`.
+
+    `lookups` has (vec_id, bucket, e, question, now), `index` (vec_id, bucket, e, question, key, t, time_sensitive), times
+    in seconds. Vectors that are missing or of other lengths than the lookup's are no candidates."""
+    of_length = F.concat(F.size("e").cast("string"), F.lit("|"), F.col("bucket").cast("string"))
+    vectors = lambda df: df.where("size(e) > 0").select("vec_id", of_length.alias("bucket"), "e").where("bucket IS NOT NULL")
+    near = cosine_block_join(vectors(lookups), vectors(index), threshold)
+    asked = lookups.select(F.col("vec_id").alias("query_id"), F.col("question").alias("query"), "now")
+    held = index.select(F.col("vec_id").alias("candidate_id"), F.col("question").alias("matched_query"), "key", "t", "time_sensitive")
+    stale = F.coalesce("time_sensitive", F.lit(True)) & (F.col("now") - F.coalesce("t", F.lit(0)) > max_age_s)
+    reason = T.rejection_reason(F.col("query"), F.col("matched_query"), min_overlap)
+    return near.join(asked, "query_id").join(held, "candidate_id").select("query_id", "candidate_id", "key", "similarity", "matched_query", reason.alias("reason"), stale.alias("stale"))
+
+
+def _tried(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """Candidates with n_rejected_before, wins and rejected: a lookup tries its candidates best first, and the first that
+    no guard rejects, that isn't stale and whose answer (key, answer) is still stored and not blank wins; none is tried after it."""
+    stored = answers.where(F.trim(T.text(F.col("answer"))) != "").select("key").distinct().withColumn("stored", F.lit(True))
+    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "candidate_id")
+    before = best.rowsBetween(Window.unboundedPreceding, -1)
+    usable = F.col("reason").isNull() & ~F.col("stale") & F.col("stored").isNotNull()
+    tried = candidates.join(stored, "key", "left").withColumn("usable", usable)
+    tried = tried.withColumn("n_rejected_before", F.count("reason").over(before)).withColumn("won", F.coalesce(F.max("usable").over(before), F.lit(False)))
+    return tried.withColumn("wins", F.col("usable") & ~F.col("won")).withColumn("rejected", F.col("reason").isNotNull() & ~F.col("won"))
 
 
-def semantic_reuse(candidates: DataFrame) -> DataFrame:
-    """(query_id, candidate_id, similarity, matched_query, n_rejected_before): the best candidate that no guard rejects."""
-    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "candidate_id")
-    before = F.count("reason").over(best.rowsBetween(Window.unboundedPreceding, -1))
-    passing = candidates.withColumn("n_rejected_before", before).where("reason IS NULL")
-    return passing.withColumn("r", F.row_number().over(best)).where("r = 1").select("query_id", "candidate_id", "similarity", "matched_query", "n_rejected_before")
+def semantic_reuse(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """(query_id, candidate_id, similarity, matched_query, n_rejected_before): the candidate that wins each lookup."""
+    return _tried(candidates, answers).where("wins").select("query_id", "candidate_id", "similarity", "matched_query", "n_rejected_before")
 
 
 def purge_stale_index(index: DataFrame, answers: DataFrame) -> DataFrame:
@@ -140,10 +160,15 @@ def threshold_sweep(candidates: DataFrame, grid: list[float]) -> DataFrame:
     return counts.withColumn("accepted_share", F.round(F.col("accepted") / (F.col("accepted") + F.col("rejected")), 4))
 
 
-def cache_stats(attribution: DataFrame) -> DataFrame:
-    hits = F.count(F.when(F.col("kind") == "hit", 1))
-    n = F.count(F.lit(1))
-    return attribution.agg(hits.alias("hits"), (n - hits).alias("misses"), F.when(n > 0, F.round(hits / n, 3)).otherwise(0.0).alias("hit_rate"))
+def cache_stats(attribution: DataFrame, candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row: hits, misses and hit_rate of exact reuse; semantic_hits, semantic_rejected (by guards, up to the winner)
+    and rescue_rate, the semantic hits' share of the misses. Rates without lookups are 0."""
+    tried = _tried(candidates, answers).select(F.when(F.col("wins"), "semantic_hit").when(F.col("rejected"), "semantic_rejected").alias("kind"))
+    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    rate = lambda part, whole: F.when(F.col(whole) > 0, F.round(F.col(part) / F.col(whole), 3)).otherwise(0.0)
+    kinds = {"hits": "hit", "misses": "miss", "semantic_hits": "semantic_hit", "semantic_rejected": "semantic_rejected"}
+    counts = attribution.select("kind").unionAll(tried).agg(*(n(kind).alias(name) for name, kind in kinds.items())).withColumn("lookups", F.col("hits") + F.col("misses"))
+    return counts.select(*kinds, rate("hits", "lookups").alias("hit_rate"), rate("semantic_hits", "misses").alias("rescue_rate"))
 
 
 def prune_index(index: DataFrame, cap: int = DEFAULTS.index_cap) -> DataFrame:

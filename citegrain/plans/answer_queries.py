@@ -120,7 +120,6 @@ a AS (WITH RECURSIVE f AS (
     CASE WHEN f.sts IS NOT NULL AND r.ts < f.sts + to_seconds(f.ttl) THEN f.sid END, CASE WHEN f.sts IS NOT NULL AND r.ts < f.sts + to_seconds(f.ttl) THEN f.sts END
   FROM f JOIN r ON r.query = f.query AND r.rn = f.rn + 1) SELECT * FROM f)"""
 query("reuse_attribution", f"WITH {_REUSE} SELECT event_id, kind, hit_id AS stored_event_id, CAST(floor(epoch(ts - hit_ts)) AS BIGINT) AS age_s FROM a")(lambda spark, d: R.reuse_attribution(X.requests(spark, d)))
-query("cache_stats", f"WITH {_REUSE} SELECT count(CASE WHEN kind = 'hit' THEN 1 END) AS hits, count(CASE WHEN kind <> 'hit' THEN 1 END) AS misses, round(count(CASE WHEN kind = 'hit' THEN 1 END) / count(*), 3) AS hit_rate FROM a")(lambda spark, d: R.cache_stats(R.reuse_attribution(X.requests(spark, d))))
 
 _LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 _GUARD = f"""CASE WHEN trim(a) = '' OR trim(b) = '' THEN 'empty question'
@@ -146,16 +145,27 @@ query("semantic_guards", f"WITH {Q.QUESTIONS}, pairs AS (SELECT x.q_id AS query_
     lambda spark, d: (lambda q: q.alias("x").join(q.alias("y"), F.expr("x.item_id = y.item_id AND x.q_id < y.q_id")).select(
         F.col("x.q_id").alias("query_id"), F.col("y.q_id").alias("candidate_id"), T.rejection_reason(F.col("x.question"), F.col("y.question")).alias("reason"), F.round(T.token_overlap(F.col("x.question"), F.col("y.question")), 6).alias("overlap")))(X.questions(spark, d))
 )
-_PAIRS = f"""{Q.QUESTIONS}, v AS (SELECT e.vec_id, e.label AS bucket, CAST(e.embedding AS DOUBLE[]) AS e, q.question FROM embeddings e JOIN questions q ON q.q_id = e.vec_id % 40),
-near AS (SELECT * FROM (SELECT x.vec_id AS query_id, y.vec_id AS candidate_id, round(list_dot_product(x.e, y.e), 5) AS similarity, x.question AS a, y.question AS b FROM v x JOIN v y ON x.bucket = y.bucket AND x.vec_id % 5 = 0 AND y.vec_id % 5 <> 0) WHERE similarity >= 0.1), {_guards('near')}"""
-query("semantic_reuse", f"""WITH {_PAIRS} SELECT query_id, candidate_id, similarity, matched_query, n_rejected_before FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, candidate_id) AS r FROM (
-    SELECT query_id, candidate_id, similarity, b AS matched_query, reason, count(reason) OVER (PARTITION BY query_id ORDER BY similarity DESC, candidate_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_rejected_before FROM judged WHERE similarity >= 0.25) WHERE reason IS NULL) WHERE r = 1""")(
-    lambda spark, d: R.semantic_reuse(R.semantic_candidates(*X.semantic(spark, d), threshold=0.25))
+_PAIRS = f"""{Q.QUESTIONS}, v AS (SELECT e.vec_id, e.label AS bucket, CAST(e.embedding AS DOUBLE[]) AS e, q.question FROM embeddings e JOIN questions q ON q.q_id = (e.vec_id // 40 * 8 + e.vec_id % 8) % (SELECT max(q_id) + 1 FROM questions)),
+near AS (SELECT * FROM (SELECT x.vec_id AS query_id, y.vec_id AS candidate_id, round(list_dot_product(x.e, y.e), 5) AS similarity, x.question AS a, y.question AS b FROM v x JOIN v y ON x.bucket = y.bucket AND x.vec_id % 5 = 0 AND y.vec_id % 5 <> 0) WHERE similarity >= 0.1), {_guards('near')}, tried AS (SELECT *, max(usable) OVER before AS won, count(reason) OVER before AS n_rejected_before FROM (
+  SELECT *, reason IS NULL AND NOT (candidate_id % 4 = 0 AND 1000 + query_id % 50 - (1000 - candidate_id % 20 * 15) > 120) AND candidate_id % 7 NOT IN (1, 2) AS usable FROM judged WHERE similarity >= 0.25)
+  WINDOW before AS (PARTITION BY query_id ORDER BY similarity DESC, candidate_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+won AS (SELECT *, usable AND NOT coalesce(won, false) AS wins, reason IS NOT NULL AND NOT coalesce(won, false) AS rejected FROM tried)"""
+
+
+def _candidates(spark, d, threshold=0.25):
+    lookups, index, answers = X.semantic(spark, d)
+    return R.semantic_candidates(lookups, index, threshold), answers
+
+
+query("semantic_reuse", f"WITH {_PAIRS} SELECT query_id, candidate_id, similarity, b AS matched_query, n_rejected_before FROM won WHERE wins")(lambda spark, d: R.semantic_reuse(*_candidates(spark, d)))
+query("cache_stats", f"""WITH {_REUSE}, {_PAIRS}, x AS (SELECT count(CASE WHEN kind = 'hit' THEN 1 END) AS hits, count(CASE WHEN kind <> 'hit' THEN 1 END) AS misses FROM a),
+s AS (SELECT count(CASE WHEN wins THEN 1 END) AS semantic_hits, count(CASE WHEN rejected THEN 1 END) AS semantic_rejected FROM won)
+SELECT *, round(hits / (hits + misses), 3) AS hit_rate, round(semantic_hits / misses, 3) AS rescue_rate FROM x, s""")(
+    lambda spark, d: R.cache_stats(R.reuse_attribution(X.requests(spark, d)), *_candidates(spark, d))
 )
 query("threshold_sweep", f"""WITH {_PAIRS} SELECT threshold, CAST(count(CASE WHEN reason IS NULL THEN 1 END) AS BIGINT) AS accepted, CAST(count(reason) AS BIGINT) AS rejected, round(count(CASE WHEN reason IS NULL THEN 1 END) / count(*), 4) AS accepted_share
 FROM judged JOIN (VALUES (CAST(0.1 AS DOUBLE)), (0.2), (0.3), (0.4)) g(threshold) ON similarity >= threshold GROUP BY threshold""")(
-    lambda spark, d: R.threshold_sweep(R.semantic_candidates(*X.semantic(spark, d), threshold=0.1), [0.1, 0.2, 0.3, 0.4])
+    lambda spark, d: R.threshold_sweep(_candidates(spark, d, 0.1)[0], [0.1, 0.2, 0.3, 0.4])
 )
 query("prune_index", "SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings) WHERE r <= 10")(
     lambda spark, d: R.prune_index(X.table(spark, d, "embeddings").select("vec_id", F.col("label"), F.col("label").alias("bucket"), F.col("vec_id").alias("t")), cap=10).select("vec_id", "label")

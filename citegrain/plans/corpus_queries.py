@@ -106,7 +106,7 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
     lambda spark, d: V.bm25(X.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), X.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")).select("query_id", "rank", F.round("score", 3).alias("score"))
 )
 query("cosine_block_join", "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT x.vec_id AS query_id, y.vec_id AS candidate_id, round(list_dot_product(x.e, y.e), 5) AS similarity FROM v x JOIN v y ON x.label = y.label AND x.vec_id % 5 = 0 AND y.vec_id % 5 <> 0 WHERE round(list_dot_product(x.e, y.e), 5) >= 0.25")(
-    lambda spark, d: V.cosine_block_join(*X.semantic(spark, d), threshold=0.25)
+    lambda spark, d: V.cosine_block_join(*X.semantic(spark, d)[:2], threshold=0.25)
 )
 _FIRST = f"WITH {Q.TURNS} "
 query("list_threads", _FIRST + "SELECT user_id, session_id, arg_min(query, turn_id) AS title, count(*) AS turn_count, min(minute_no) AS created, max(minute_no) AS updated FROM (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY minute_no DESC, turn_id DESC) <= 10) GROUP BY ALL")(lambda spark, d: H.list_threads(X.turns(spark, d), 10))

@@ -74,11 +74,12 @@ query("bucket_keys", "SELECT label, substr(sha256(concat_ws('|', 'v1', CAST(labe
 query("vectors", "SELECT vec_id, round(CASE WHEN list_sum(list_transform(e, lambda x: x * x)) > 0 THEN list_dot_product(e, e) / sqrt(list_dot_product(e, e)) END, 4) AS norm, list_sum(list_transform(e, lambda x: CAST(round(x * 2, 0) AS DOUBLE))) AS steps FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")(
     lambda spark, d: X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).select("vec_id", F.round(R.cosine(R.normalize_vector(F.col("e")), F.col("e")), 4).alias("norm"), F.aggregate(F.transform("e", lambda x: F.round(x * 2, 0)), F.lit(0.0), lambda s, x: s + x).alias("steps"))
 )
-query("url_functions", f"SELECT page_id, coalesce({_DOM.format('url')}, '') AS domain, concat('page:', md5(url)) AS key, CASE WHEN regexp_matches(url, '^https?://') THEN trim(url) ELSE '' END AS safe FROM pages WHERE url LIKE 'https://%'")(
-    lambda spark, d: X.table(spark, d, "pages").where("url LIKE 'https://%'").select("page_id", F.coalesce(T.url_domain(F.col("url")), F.lit("")).alias("domain"), R.url_key("page", F.col("url")).alias("key"), T.safe_url(F.col("url")).alias("safe"))
+query("url_functions", "SELECT page_id, replace(regexp_extract(coalesce(url, ''), '^[a-z]+://([^/?#]*)', 1), 'www.', '') AS domain, concat('page:', md5(coalesce(url, ''))) AS key, CASE WHEN regexp_matches(trim(url), '(?i)^https?://') THEN trim(url) ELSE '' END AS safe FROM pages")(
+    lambda spark, d: X.table(spark, d, "pages").select("page_id", F.coalesce(T.url_domain(F.col("url")), F.lit("")).alias("domain"), R.url_key("page", F.col("url")).alias("key"), T.safe_url(F.col("url")).alias("safe"))
 )
-query("name_functions", "SELECT doc_id, CASE WHEN s = '' THEN 'session' ELSE s END AS slug, concat(substr(text, 1, 20)) AS name FROM (SELECT doc_id, text, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS s FROM documents WHERE NOT regexp_matches(substr(text, 1, 20), '[\\r\\n\"\\\\]') AND trim(substr(text, 1, 20)) <> '')")(
-    lambda spark, d: X.table(spark, d, "documents").where("NOT substr(text, 1, 20) RLIKE '[\\\\r\\\\n\"\\\\\\\\]' AND trim(substr(text, 1, 20)) <> ''").select("doc_id", T.slug(F.col("text")).alias("slug"), T.safe_filename(F.substring("text", 1, 20)).alias("name"))
+query("name_functions", """SELECT doc_id, CASE WHEN s = '' THEN 'session' ELSE s END AS slug, CASE WHEN trim(f) = '' THEN 'file' ELSE f END AS name FROM (
+  SELECT doc_id, substr(regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS s, replace(replace(replace(replace(t, chr(13), ''), chr(10), ''), chr(34), ''), chr(92), '') AS f FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")(
+    lambda spark, d: X.table(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), T.safe_filename(F.col("text")).alias("name"))
 )
 query("plain_text", f"WITH {Q.ANSWERS} SELECT turn_id, regexp_replace(answer, '\\[\\d+\\]', '', 'g') AS plain FROM answers")(lambda spark, d: X.answers(spark, d).select("turn_id", T.clean_inline(F.col("answer")).alias("plain")))
 query("doc_first", f"WITH {Q.TURNS}, {Q.RANKED} SELECT turn_id, CAST(row_number() OVER (PARTITION BY turn_id ORDER BY position % 2, position) AS INT) AS place, text, CASE WHEN position % 2 = 0 THEN 1.0 ELSE score END AS score FROM ranked")(

@@ -41,7 +41,7 @@ CALLS = """calls AS (
 QUESTIONS = """questions AS (
   SELECT item_id * 8 + v AS q_id, item_id, trim(CASE v WHEN 0 THEN s WHEN 1 THEN concat('best ', s) WHEN 2 THEN concat('worst ', s) WHEN 3 THEN concat(s, ' 3.11')
     WHEN 4 THEN concat(s, ' 3.12') WHEN 5 THEN concat('explain ', s) WHEN 6 THEN concat('alpha vs beta ', s) ELSE concat('beta vs alpha ', s) END) AS question
-  FROM (SELECT item_id, substr(lower(text), 1, 60) AS s FROM benchmark) b, (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) g(v)
+  FROM (SELECT item_id, lower(text) AS s FROM benchmark) b, (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) g(v)
 )"""
 MARKERS = r"list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: CAST(x AS INT))"
 NUMBERED = """numbered AS (

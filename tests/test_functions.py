@@ -95,3 +95,25 @@ def test_summary_of_nothing(spark):
     schema = "turn_id bigint, query string, answer string, n_sources bigint, mode string, declared string, expected string, must_mention array<string>, ranked_chunks bigint, top_score double, latency_ms bigint, total_tokens bigint, cost_usd double, error string"
     row = evals.summarize(evals.score_runs(spark.createDataFrame([], schema))).first()
     assert row.queries == 0 and row.mean_coverage == 0.0
+
+
+def test_similar_answers_are_tried_best_first(spark):
+    from citegrain.operators import reuse
+
+    lookups = spark.createDataFrame([(1, "b", [1.0, 0.0], "best solar panel price", 1000), (2, None, [1.0, 0.0], "best solar panel price", 1000), (3, "b", None, "x", 1000)], "vec_id bigint, bucket string, e array<double>, question string, now bigint")
+    index = [
+        (10, "b", [1.0, 0.0], "worst solar panel price", 10, 1000, False),  # a guard rejects it
+        (11, "b", [0.99, 0.1], "best solar panel price today", 11, 879, True),  # 121 s old
+        (12, "b", [0.98, 0.1], "best solar panel price now", 12, 1000, True),  # its answer is blank
+        (13, "b", [0.97, 0.1], "best solar panel price here", 13, 1000, None),
+        (14, "b", [0.96, 0.1], "worst panel", 14, 1000, False),  # below the winner
+        (15, "c", [1.0, 0.0], "best solar panel price", 15, 1000, False),
+        (16, "b", [1.0], "best solar panel price", 16, 1000, False),  # of another length
+    ]
+    index = spark.createDataFrame(index, "vec_id bigint, bucket string, e array<double>, question string, key bigint, t bigint, time_sensitive boolean")
+    answers = spark.createDataFrame([(k, " " if k == 12 else "told") for k in (10, 11, 12, 13, 13, 14)], "key bigint, answer string")
+    candidates = reuse.semantic_candidates(lookups, index, 0.9)
+    assert [tuple(r) for r in reuse.semantic_reuse(candidates, answers).collect()] == [(1, 13, 0.97, "best solar panel price here", 1)]
+    attribution = spark.createDataFrame([("hit",), ("miss",), ("miss",)], "kind string")
+    assert tuple(reuse.cache_stats(attribution, candidates, answers).first()) == (1, 2, 1, 1, 0.333, 0.5)
+    assert tuple(reuse.cache_stats(attribution.limit(0), candidates.limit(0), answers.limit(0)).first()) == (0, 0, 0, 0, 0.0, 0.0)
