@@ -85,6 +85,35 @@ def test_top_k_equals_brute_force(spark):
         assert got[q] == {n + 1: (-s, i) for n, (s, i) in enumerate(best)}
 
 
+@pytest.mark.parametrize("page", [8 * 128, 1 << 20])
+def test_top_k_avoids_products_of_clustered_vectors(spark, monkeypatch, page):
+    monkeypatch.setattr(mtree, "PAGE", page)
+    monkeypatch.setattr(mtree, "PIVOTS", 40)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(19, 8)) * 4
+    vectors = [(centres[i % 19] + rng.normal(size=8) * 0.02).tolist() for i in range(6000)]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")
+    whole = np.floor(1024 * np.array(vectors))
+    asked = F.col("vec_id") % 100 == 0
+    got = {(r.query_id, r["rank"]): (r.score, r.vec_id) for r in mtree.top_k(df, asked).collect()}
+    for q in range(0, 6000, 100):
+        scores = whole @ whole[q]
+        scores[q] = -np.inf
+        order = np.lexsort((np.arange(6000), -scores))[:10]
+        assert [got[q, n + 1] for n in range(10)] == [(int(scores[i]), i) for i in order]
+    assert mtree.products_computed(df, asked).agg(F.sum("products")).first()[0] < 0.3 * 60 * 6000
+
+
+def test_top_k_of_equal_rows_shared_ids_and_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "PAGE", 2)
+    monkeypatch.setattr(mtree, "LEAF", 2)
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0)] * 5 + [(2, [1.0, 0.0], 1), (1, [0.0, 1.0], 2), (None, [1.0, 1.0], 3), (3, [], 4), (4, None, 5)], "vec_id bigint, embedding array<double>, page int")
+    got = [tuple(r) for r in mtree.top_k(df, F.col("vec_id") == 2, k=4).orderBy("rank").collect()]
+    assert got == [(2, n, 1, 1024 * 1024) for n in range(1, 5)]
+    assert mtree.top_k(df.limit(0), F.col("vec_id") == 2).count() == 0
+    assert mtree.top_k(df, F.col("vec_id") == 9).count() == 0
+
+
 def brute_components(texts, width, t):
     sets = [set(Shingler(width)(x).tolist()) for x in texts]
     root = list(range(len(texts)))
