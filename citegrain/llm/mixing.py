@@ -23,6 +23,8 @@ from .common import materialize
 
 #: Documents that meet in a bucket, at about; residuals that a node of the tree combines.
 BUCKET_ROWS = 1024
+#: Sources that are broadcast at most, and the parts of a source beyond that.
+BROADCAST_SOURCES, SALTS = 10_000, 32
 WEIGHTS = (5.0, 2.0, 1.0)
 _MASK = (1 << 64) - 1
 
@@ -90,12 +92,25 @@ def meet(keys: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: int, last: bo
     return p, held
 
 
+def with_source_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """`rows` (doc_id, hash, source, ...) with the columns of `facts`, one row for each source, named `of` there. At most
+    BROADCAST_SOURCES sources are broadcast; more are joined with salts, so that a source of many rows is dealt to
+    SALTS parts."""
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if facts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(facts), same).drop("of")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(SALTS)).cast("int"))
+    every = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, same & (F.col("_salt") == F.col("_part"))).drop("of", "_salt", "_part")
+
+
 def pivotal_copies(docs: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, hash, source, size, source_size, target, copies) from rows (id, hash, source, size, source_size, target)."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     dealt = docs.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("buckets"))
+    dealt = materialize(dealt, "buckets")
     most = dealt.agg(F.max("buckets")).first()[0] or 1
-    rows = docs.join(dealt, F.col("source").eqNullSafe(F.col("of"))).select(
+    rows = with_source_facts(docs, dealt).select(
         "doc_id", "hash", "source", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"),
         F.xxhash64(F.lit(seed), "doc_id", "hash").alias("key"), "buckets", F.lit(False).alias("settled"),
     )
@@ -125,9 +140,8 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[float, ...] = WEIGHTS, s
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     sized = materialize(sized, "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "of")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    return pivotal_copies(joined, seed)
+    targets = materialize(source_targets(sizes, weights, share, most).withColumnRenamed("source", "of"), "targets")
+    return pivotal_copies(with_source_facts(sized, targets), seed)
 
 
 def repeated(docs: DataFrame, copies: DataFrame) -> DataFrame:

@@ -313,7 +313,9 @@ def test_mixing_meets_its_targets(spark, monkeypatch):
     for s in sizes:
         # one residual document is rounded at the end: of source b it may be the long one
         assert targets[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= (3000 if s == "b" else 60)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     assert sorted((r.doc_id, r.copies) for r in mixing.mix(df).collect()) == sorted((r.doc_id, r.copies) for r in got)
+    assert mixing.mix(df.limit(0)).count() == 0
 
 
 def _held_out(documents, labels, label, divisor, rest, fit, most):
