@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import languages, quality, toxicity
 from .bpe import bpe_encode, id_digest
 from .common import table
+from .filter_audit import filter_audit, words_of
 from .jaccard import jaccard_components
 from .media import read_media, write_media
 from .mixing import mix
 from .mtree import top_k
 from .pii import pseudonymize
 from .repeats import remove_repeats
+from .runs import periodic_runs
 from .token_counts import prefix_counts
 from .training import labelled_sample, residue, with_score
 
@@ -117,3 +119,70 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d
+), f AS (
+  SELECT part, [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(least < doc_id, false)] AS f,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS toxic FROM w
+), c AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL
+), i AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, CAST(i AS INT) AS step, o[i] AS own, n, good, toxic,
+    f[o[i]] AS fails, len(list_filter(o[:i - 1], lambda x: f[x])) > 0 AS before, len(list_filter(f, lambda x: x)) = 1 AS single FROM c, o, i
+), t AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (NOT fails AND NOT before) AS kept, sum(n) FILTER (fails AND NOT before) AS removed, sum(n) FILTER (fails AND before) AS redundant,
+    sum(n) FILTER (fails AND single) AS unique_fails, sum(good) FILTER (fails AND NOT before) AS good_lost, sum(toxic) FILTER (fails AND NOT before) AS toxic_lost FROM s GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM t
+"""
+
+
+@query
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = languages.identify(documents, languages.train(documents, residue(3) != 1), ["doc_id"])
+    return found.select("doc_id", (residue(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periodic_runs(planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # longest by exact quotient: lengths * periods compare as integers
+    better = lambda a, b: (a["length"] * b["period"] > b["length"] * a["period"]) | ((a["length"] * b["period"] == b["length"] * a["period"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["period"] < b["period"]))))
+    best = F.aggregate("runs", F.try_element_at("runs", F.lit(1)), lambda a, b: F.when(better(b, a), b).otherwise(a))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    b = F.col("best")
+    return done.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), b["start"].alias("start"), b["length"].alias("length"), b["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def planted_runs(documents: DataFrame) -> DataFrame:
+    """One text in ten, by crc32 of its id, ends in copies of a block of its own words, as the query's contract
+    asks; rows with a null id keep their text."""
+    h, n = F.crc32(F.col("doc_id").cast("string")), F.size("words")
+    planted = documents.withColumn("words", words_of(F.col("text"))).withColumn("g", F.floor(h / 10)).withColumn("a", F.expr("CAST(g % nullif(size(words), 0) AS INT)"))
+    planted = planted.withColumn("p", F.expr("CAST(1 + (size(words) - a) div (3 + g % 8) AS INT)"))
+    block = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.flatten(F.array_repeat(block, F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    text = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), n), " ")
+    return planted.withColumn("text", F.when((h % 10 == 0) & (n > 0), text).otherwise(F.col("text"))).select(*documents.columns)

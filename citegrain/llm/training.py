@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -27,23 +27,31 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, allowed
     `most_docs` by a hash of their ids, without the rows that `most_chars` has no room for beside those
     before them."""
     order = F.xxhash64(F.lit("sample"), "doc_id")
-    # sorting on two columns also breaks ties; the sample is small by its bound, so it can be broadcast
-    chosen = labels.where(allowed & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"), order.alias("h")).orderBy("h", "doc_id").limit(most_docs)
+    known = labels.where(allowed & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y")).distinct()
+    # sorting on all columns also breaks ties; the sample is small by its bound, so it can be broadcast
+    chosen = known.orderBy(order, "doc_id", "y").limit(most_docs)
+    texts, y = row_sample(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "y", most_docs, most_chars)
+    return texts, np.array(y, float)
 
-    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = 0
-        for batch in batches:
-            fits = []
-            for n in batch.column(0).to_pylist():
-                fits.append(held + n <= most_chars)
-                held += n if fits[-1] else 0
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits, pa.bool_())) for c in batch.columns[1:]], ["text", "y"])
 
-    chars = F.coalesce(F.length("text"), F.lit(0)).alias("chars")
-    able = documents.select("doc_id", "text", chars).where(F.col("chars") <= most_chars).join(F.broadcast(chosen), "doc_id")
-    ordered = able.repartition(1).sortWithinPartitions("h", "doc_id", "chars", F.xxhash64("text")).select("chars", "text", "y")
-    rows = ordered.mapInArrow(fitting, able.select("text", "y").schema).toArrow()
-    return rows.column("text").to_pylist(), rows.column("y").to_numpy()
+def row_sample(rows: DataFrame, label: str, most_docs: int, most_chars: int = TRAIN_CHARS, text_col: str = "text") -> tuple[list[str | None], list]:
+    """(texts, labels) of different rows of (doc_id, text, label), the first `most_docs` by a hash of their ids,
+    without those that `most_chars` has no room for beside those before them. Lengths and hashes settle
+    which; only the texts of the sample leave their tasks, each once, however often its row stands there."""
+    chars = F.coalesce(F.length(text_col), F.lit(0)).alias("chars")
+    told = rows.select("doc_id", F.xxhash64(text_col).alias("hash"), chars, F.col(label).alias("y")).where(F.col("chars") <= most_chars)
+    first = told.distinct().orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "chars", "hash", "y").limit(most_docs).collect()
+    places, held = [], 0
+    for row in first:
+        if held + row.chars <= most_chars:
+            places.append((row.doc_id, row.hash, row.y, len(places)))
+            held += row.chars
+    chosen = rows.sparkSession.createDataFrame(places, told.select("doc_id", "hash", "y").schema.add("place", "integer"))
+    text = rows.select(F.col("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(label).alias("y"), F.col(text_col).alias("text"))
+    same = [text[c].eqNullSafe(chosen[c]) for c in ("doc_id", "hash", "y")]
+    found = text.join(F.broadcast(chosen), same).groupBy("place").agg(F.first("text").alias("text")).toArrow()
+    texts = dict(zip(found.column("place").to_pylist(), found.column("text").to_pylist()))
+    return [texts[p] for *_, p in places], [y for *_, y, _ in places]
 
 
 def with_score(df: DataFrame, model, keep: list[str], text_col: str = "text", name: str = "score", most: int = 4 << 20) -> DataFrame:
