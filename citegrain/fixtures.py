@@ -32,12 +32,47 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).withColumn("answer", F.expr(f"concat({head}, array_join({line}, '\\n'))"))
 
 
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with headings, inline marks and fences of both kinds, some nested and some never closed."""
+    line = """transform(split(answer, '\\n'), (x, j) -> concat(
+        CASE (turn_id + j * 3) % 11 WHEN 1 THEN '```\\n' WHEN 3 THEN ' ~~~ text\\n' WHEN 4 THEN '```\\n' WHEN 5 THEN '## ' WHEN 6 THEN '\\n\\n\\n' WHEN 7 THEN '1. ' WHEN 8 THEN '**bold** `code` _it_ [site](http://x.example) ' ELSE '' END, x))"""
+    return answers(spark, sf_dir).select("turn_id", F.expr(f"array_join({line}, '\\n')").alias("answer"))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).selectExpr("*", "explode(sequence(1L, n_sources)) AS k").selectExpr(
         "turn_id", "k AS idx", "concat('https://', CASE WHEN k % 3 = 0 THEN 'www.' ELSE '' END, 'site', (session_id + k) % 20, '.example.com/d/', session_id * 10 + k) AS url", "concat('Title ', k) AS title",
     )
 
 
+def stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with sub-queries, images, a trace and follow-ups, each empty or missing for some."""
+    return answers(spark, sf_dir).selectExpr(
+        "turn_id", "query", "answer", "minute_no", "CASE WHEN turn_id % 2 = 0 THEN array(query, concat(query, ' in detail')) ELSE array() END AS sub_queries",
+        "CASE WHEN turn_id % 4 <> 1 THEN array(named_struct('image', concat('https://i.example.com/', turn_id, '.png'), 'domain', 'i.example.com')) END AS images",
+        """named_struct('sources', CASE WHEN turn_id % 5 < 3 THEN array(named_struct('url', concat('https://t.example.com/', turn_id), 'chunks', 2L)) ELSE array() END,
+            'sub_queries', CASE WHEN turn_id % 3 = 0 THEN array(query) ELSE array() END) AS trace""",
+        "CASE WHEN turn_id % 3 <> 2 THEN array(concat('more on ', turn_id), 'why') END AS follow_ups",
+    )
+
+
+def live_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of turns as they were answered: sources in two lists, images twice, tokens of sixty characters. Some
+    turns fail, some never end, and some pause for an hour behind their third event."""
+    listed = sources(spark, sf_dir).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("idx", "url", "title"))).alias("s"))
+    event = lambda kind, json: f"named_struct('type', '{kind}', 'payload', {json})"
+    events = f"""array_compact(flatten(array(
+        array({event('sources', "to_json(named_struct('sources', filter(s, x -> x.idx % 2 = 1)))")}, {event('images', "'{\"images\":[\"first\"]}'")}),
+        transform(sequence(1, greatest(length(answer), 1), 60), i -> {event('token', "to_json(named_struct('token', substr(answer, i, 60)))")}),
+        array({event('sources', "CASE WHEN turn_id % 3 = 0 THEN to_json(named_struct('sources', s, 'replace', true)) ELSE to_json(named_struct('sources', s)) END")},
+            {event('images', "to_json(named_struct('images', array(concat('last ', turn_id))))")}, {event('trace', "to_json(named_struct('turn', turn_id))")},
+            {event('follow_up', "to_json(named_struct('suggestions', array(concat('more on ', turn_id), 'why')))")},
+            CASE WHEN turn_id % 11 = 5 THEN {event('error', "'{}'")} END, CASE WHEN turn_id % 13 <> 4 THEN {event('done', "'{}'")} END))))"""
+    rows = answers(spark, sf_dir).join(listed, "turn_id").select("turn_id", "minute_no", F.posexplode(F.expr(events)).alias("seq", "e"))
+    begun = "TIMESTAMP'2024-01-01' + make_dt_interval(0, 0, minute_no, seq + CASE WHEN turn_id % 17 = 6 AND seq > 2 THEN 3600 ELSE 0 END)"
+    return rows.selectExpr("turn_id", "seq", f"{begun} AS ts", "e.type", "e.payload")
+
+
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen scored passages for each turn, with ties and empty texts."""
     return turns(spark, sf_dir).selectExpr("*", "explode(sequence(1L, 16L)) AS p").selectExpr(

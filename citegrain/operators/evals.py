@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -137,11 +138,19 @@ def compare_to_baseline(summary: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def load_specs(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, problems): `problems` has (id, problem) for ids that repeat, missing fields and unknown formats."""
+    """(valid, problems): `problems` has (id, problem) for ids that repeat, missing fields, unknown formats and, where there is a
+    column history (JSON: an array of turns that each have a query), malformed histories."""
     n = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    malformed = []
+    if "history" in specs.columns:
+        told = F.trim(T.text(F.col("history")))
+        turns = F.from_json(told, "array<string>")
+        # a key that is there may hold null; only objects have keys
+        named = F.exists(turns, lambda t: ~F.array_contains(F.coalesce(F.json_object_keys(t), F.array().cast("array<string>")), "query"))
+        malformed = [F.when(~told.isin("", "null", "[]", "{}") & (~told.startswith("[") | turns.isNull() | F.coalesce(named, F.lit(True))), "malformed history")]
     bad = F.array_compact(F.array(
         F.when(T.text(F.col("id")) == "", "missing id"), F.when((T.text(F.col("id")) != "") & (n > 1), "duplicate id"), F.when(F.trim(T.text(F.col("query"))) == "", "missing query"),
-        F.when((T.text(F.col("expected_format")) != "") & ~F.col("expected_format").isin(*FORMATS, "chat"), "unknown format"),
+        F.when((T.text(F.col("expected_format")) != "") & ~F.col("expected_format").isin(*FORMATS, "chat"), "unknown format"), *malformed,
     ))
     judged = specs.withColumn("_bad", bad)
     return judged.where(F.size("_bad") == 0).drop("_bad"), judged.select("id", F.explode("_bad").alias("problem"))
@@ -154,6 +163,88 @@ def render_report(summary: DataFrame) -> DataFrame:
     return summary.select(rows.alias("report"))
 
 
+def _percent(c: Column, digits: int = 0) -> Column:
+    return F.concat(F.format_string(f"%.{digits}f", F.bround(c * 100, digits)), F.lit("%"))
+
+
+def regression_lines(regressions: DataFrame) -> DataFrame:
+    """(metric, line) of the rows of `compare_to_baseline`."""
+    told = F.concat("metric", F.lit(": "), _percent(F.col("after"), 2), F.lit(" vs baseline "), _percent(F.col("before"), 2), F.lit(" (tolerance "), _percent(F.col("tolerance")), F.lit(")"))
+    return regressions.select("metric", told.alias("line"))
+
+
+def report_lines(summary: DataFrame, scores: DataFrame, regressions: DataFrame, failed: DataFrame, generated_at: str) -> DataFrame:
+    """(section, place, id, line): the whole report as ordered lines, as many as it has runs: head and metrics (section 1),
+    regressions (2), hard failures (3) and a row for each run (4). Sections 2 and 3 are there if they have lines. `failed`
+    has (turn_id, problems)."""
+    wrong = regressions.select(F.lit(1).alias("x")).limit(1).unionAll(failed.select(F.lit(1).alias("x")).limit(1)).agg(F.count("x").alias("wrong"))
+    # fixed values: the report's metrics and forms
+    metric = lambda name, shown: F.concat(F.lit(f"| {name} | "), shown, F.lit(" |"))
+    c = F.col
+    head = F.array(
+        F.concat(F.lit("# Eval run — "), F.when(c("wrong") == 0, "PASS").otherwise("FAIL")), F.lit(""),
+        F.format_string("_%s · %d queries · $%.4f · %.1fs mean_", F.lit(generated_at), c("queries"), c("total_cost_usd"), c("mean_latency_ms") / 1000), F.lit(""), F.lit("| Metric | Value |"), F.lit("| --- | --- |"),
+        metric("Fabricated citations", F.concat(F.lit("**"), c("total_invalid_citations").cast("string"), F.lit("**"))), metric("Citation coverage", _percent(c("mean_coverage"))), metric("Source utilization", _percent(c("mean_utilization"))),
+        metric("Format compliance", _percent(c("format_compliance_rate"))), metric("Triage format match", _percent(c("triage_format_match_rate"))), metric("Mean sources", F.format_string("%.1f", F.bround("mean_sources", 1))),
+        metric("Mean top rerank score", F.format_string("%.3f", F.bround("mean_top_rerank_score", 3))), metric("Errored runs", c("errors").cast("string")), F.lit(""),
+    )
+    none = F.lit(None).cast("string")
+    first = summary.crossJoin(F.broadcast(wrong)).select(F.lit(1).alias("section"), F.posexplode(head).alias("place", "line")).withColumn("id", none)  # one row each
+
+    def listed(rows: DataFrame, section: int, title: tuple[str, ...], key: str, line: Column) -> DataFrame:
+        """A section of `rows`, with its title where it has any."""
+        body = rows.select(F.lit(section).alias("section"), F.lit(len(title)).alias("place"), c(key).cast("string").alias("id"), line.alias("line"))
+        titles = F.posexplode(F.array(*map(F.lit, title)))
+        return rows.limit(1).select(F.lit(section).alias("section"), titles.alias("place", "line")).withColumn("id", none).unionByName(body)
+
+    problems = F.concat(F.lit("- **"), c("turn_id").cast("string"), F.lit("** — "), F.array_join("problems", "; "))
+    dash = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("—"))
+    fmt = F.concat(dash(c("declared")), F.when(F.coalesce("format_ok", F.lit(True)), "").otherwise(" ⚠"))
+    zero = lambda name: F.coalesce(name, F.lit(0.0))
+    n_invalid = F.greatest(F.coalesce(F.size("invalid"), F.lit(0)), F.lit(0))
+    cells = [
+        c("turn_id").cast("string"), dash(c("mode")), fmt, _percent(zero("coverage")), _percent(zero("utilization")), F.when(n_invalid > 0, n_invalid.cast("string")).otherwise(""),
+        F.format_string("%.1fs", F.bround(zero("latency_ms") / 1000, 1)), F.format_string("$%.5f", zero("cost_usd")),
+    ]
+    row = F.concat(F.lit("| "), *[x for cell in cells[:-1] for x in (cell, F.lit(" | "))], cells[-1], F.lit(" |"))
+    told = ("## Per query", "", "| Query | Mode | Format | Cov | Util | Cites | Latency | Cost |", "| --- | --- | --- | --- | --- | --- | --- | --- |")
+    parts = [listed(regression_lines(regressions), 2, ("## Regressions", ""), "metric", F.concat(F.lit("- "), "line")), listed(failed, 3, ("## Hard failures", ""), "turn_id", problems), listed(scores, 4, told, "turn_id", row)]
+    return reduce(DataFrame.unionByName, parts, first).select("section", "place", "id", "line")
+
+
+def update_baseline(summary: DataFrame, path: str) -> str:
+    """Make a summary (one row) the baseline in `path`, and return its version, a digest of its values. The version is
+    written whole beside the others before the pointer to it is switched in one step, so that a run that fails leaves
+    the old baseline and a repeated one changes nothing."""
+    spark = summary.sparkSession
+    version = summary.select(F.sha2(F.to_json(F.struct(*sorted(summary.columns)), {"ignoreNullFields": "false"}), 256)).first()[0]
+    if _pointed(spark, path) != version:
+        summary.coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/{version}")
+        jvm = spark._jvm
+        made, pointer = (jvm.org.apache.hadoop.fs.Path(f"{path}/{name}") for name in (f"pointer-{uuid.uuid4().hex}", "current"))
+        conf = spark._jsc.hadoopConfiguration()
+        out = made.getFileSystem(conf).create(made)
+        out.writeBytes(version)
+        out.close()
+        how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(made, pointer, how)
+    return version
+
+
+def _pointed(spark: SparkSession, path: str) -> str | None:
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
+        return None
+    return spark.read.text(f"{path}/current").first()[0]
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:
+    """The baseline that `path` points to, or None before the first."""
+    version = _pointed(spark, path)
+    return spark.read.parquet(f"{path}/versions/{version}") if version else None
+
+
 def write_eval(scores: DataFrame, summary: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").parquet(f"{path}/scores")
     summary.write.mode("overwrite").json(f"{path}/summary")

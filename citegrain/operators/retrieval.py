@@ -1,22 +1,15 @@
-"""Search results, page selection, ranking and passages."""
+"""Search results, page selection and ranking."""
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator, Sequence
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..config import DEFAULTS
 from ..functions import text as T
 
-# Separators in the order they are tried.
-SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
-
 
 def normalize_search(log: DataFrame) -> DataFrame:
     """(query_id, position, url, title, domain, snippet, content, favicon) of results with URL and title, from
@@ -110,68 +103,6 @@ def cap_sources(sources: DataFrame, most: int) -> DataFrame:
     return sources.withColumn("_n", F.row_number().over(Window.partitionBy("turn_id").orderBy("idx"))).where(F.col("_n") <= most).drop("_n")
 
 
-def _packed(text: str, begin: int, end: int, mark: str, size: int) -> list[tuple[int, int]]:
-    """Spans of text[begin:end], cut at `mark`: each takes as many neighbouring parts as fit, or one part that doesn't."""
-    starts, ends, at = [begin], [], text.find(mark, begin, end)
-    while at >= 0:
-        ends.append(at)
-        starts.append(at + len(mark))
-        at = text.find(mark, starts[-1], end)
-    ends.append(end)
-    spans, i = [], 0
-    while i < len(starts):
-        last = max(i, bisect_right(ends, starts[i] + size) - 1)
-        if starts[i] < ends[i]:
-            spans.append((starts[i], ends[last]))
-            i = last
-        i += 1
-    return spans
-
-
-def passages(text: str | None, size: int, overlap: int) -> list[str]:
-    """Passages of a text: a whole text that fits is one. Else one separator after the other cuts the spans that are still
-    too long, what no separator cuts is sliced at a fixed stride, and then, from the last separator back to the first,
-    each span of a cut is led by the end of its neighbour. Passages of few characters go."""
-    text = (text or "").strip()
-    if len(text) <= size:
-        return [text] if text else []
-    blank = (None,) * len(SEPARATORS)
-    spans = [(0, len(text), blank)]  # begin, end, the cut that it came of by each separator
-    for level, mark in enumerate(SEPARATORS):
-        nxt = []
-        for begin, end, cuts in spans:
-            if end - begin <= size or text.find(mark, begin, end) < 0:
-                nxt.append((begin, end, cuts))
-            else:
-                own = (*cuts[:level], begin, *cuts[level + 1 :])
-                nxt += [(a, b, own) for a, b in _packed(text, begin, end, mark, size)]
-        spans = nxt
-    step = max(1, size - overlap)
-    pieces = [(text[a : min(a + size, end)], cuts) for begin, end, cuts in spans for a in (range(begin, end, step) if end - begin > size else (begin,))]
-    words, cuts = [p for p, _ in pieces], [c for _, c in pieces]
-    for level in reversed(range(len(SEPARATORS))) if overlap > 0 else ():
-        led = [i > 0 and cuts[i][level] is not None and cuts[i][level] == cuts[i - 1][level] for i in range(len(words))]
-        words = [f"{words[i - 1][-overlap:]} {w}" if led[i] else w for i, w in enumerate(words)]
-    return [w for w in map(str.strip, words) if len(w) > DEFAULTS.min_chunk_chars]
-
-
-def chunk_text(docs: DataFrame, id_col: str = "doc_id", size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, chunk_no, text, columns of `keep`): passages of whole texts; each starts with the end of the one before.
-    Null and blank texts give none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [passages(t, size, overlap) for t in batch.column(1).to_pylist()]
-            n = [len(m) for m in made]
-            rows = pa.array(np.repeat(np.arange(len(n)), n), pa.int64())
-            numbers = pa.array([i for k in n for i in range(k)], pa.int32())
-            carried = [batch.column(2 + i).take(rows) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), numbers, pa.array([c for m in made for c in m], pa.string()), *carried], [id_col, "chunk_no", "text", *keep])
-
-    schema = StructType([docs.schema[id_col], StructField("chunk_no", IntegerType()), StructField("text", StringType()), *(docs.schema[c] for c in keep)])
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
-
-
 def doc_sources(docs: DataFrame, budget: int = DEFAULTS.max_chunks) -> DataFrame:
     """(turn_id, position, name, url, snippet, chunks_taken): uploaded documents share a budget of passages in order;
     a document counts as a source up to and including the first one beyond the budget."""
@@ -209,5 +140,3 @@ def cosine_block_join(lookups: DataFrame, index: DataFrame, threshold: float, bl
     b = index.join(blocks, "bucket").select(F.col("bucket").alias("b_bucket"), every("a_blocks").alias("b_i"), dealt("b_blocks").alias("b_j"), *own)
     pairs = a.groupBy("a_bucket", "a_i", "a_j").cogroup(b.groupBy("b_bucket", "b_i", "b_j"))
     return pairs.applyInArrow(lambda x, y: run(x, y), "query_id bigint, candidate_id bigint, similarity double")
-
-

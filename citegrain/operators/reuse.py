@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as T
+from .anchors import with_anchor
 from .retrieval import cosine_block_join
 
 
@@ -57,30 +54,12 @@ def quantize_vector(v: Column, digits: int = 5) -> Column:
     return F.transform(v, lambda x: F.round(x, digits))
 
 
-def _seconds(ts: pd.Series) -> np.ndarray:
-    return ts.to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
-
-
 def anchored_windows(events: DataFrame, key: str = "user_id", duration_s: int = DEFAULTS.rate_window_s, limit: int = DEFAULTS.rate_limit) -> DataFrame:
-    """(key, event_id, window_start, n, exceeded): a key's window starts with its first event and the next
-    one with the first event after its end; all events count. Keys stream in order, so a hot key needs no
-    memory of its own; only its order is kept in one partition, as each window depends on the one before."""
-    kind = events.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, start, begun, n = object(), None, 0.0, 0
-        for pdf in batches:
-            seconds, starts, counts = _seconds(pdf["ts"]), [], []
-            for k, t, ts in zip(pdf[key], seconds, pdf["ts"]):
-                if k != current or t >= begun + duration_s:
-                    current, start, n, begun = k, ts, 0, t
-                n += 1
-                starts.append(start)
-                counts.append(n)
-            yield pd.DataFrame({key: pdf[key], "event_id": pdf["event_id"], "window_start": starts, "n": counts, "exceeded": [c > limit for c in counts]})
-
-    ordered = events.select(key, "event_id", "ts").repartition(key).sortWithinPartitions(key, "ts", "event_id")
-    return ordered.mapInPandas(run, f"{key} {kind}, event_id bigint, window_start timestamp_ntz, n bigint, exceeded boolean")
+    """(key, event_id, window_start, n, exceeded): a key's window starts with its first event and the next one with the
+    first event after its end; all events count. An event without a time is in no window."""
+    held = with_anchor(events.select(F.col(key), "event_id", "ts"), key, F.lit(True), F.lit(duration_s))
+    n = F.when(F.col("ts").isNotNull(), F.col("pos") - F.col("anchor.pos") + 1)
+    return held.select(F.col("key").alias(key), "event_id", F.when(F.col("ts").isNotNull(), F.col("anchor.ts")).alias("window_start"), n.alias("n"), (n > limit).alias("exceeded"))
 
 
 def rate_limit_status(windows: DataFrame, key: str = "user_id", limit: int = DEFAULTS.rate_limit) -> DataFrame:
@@ -91,26 +70,14 @@ def rate_limit_status(windows: DataFrame, key: str = "user_id", limit: int = DEF
 
 def reuse_attribution(requests: DataFrame, key: str = "query") -> DataFrame:
     """(event_id, kind, stored_event_id, age_s): a request hits if its key's stored answer is younger than the
-    lifetime of its label; a miss whose answer is cacheable is stored anew, and a hit doesn't renew."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, stored = object(), None
-        for pdf in batches:
-            out = []
-            for k, e, t, sensitive, cacheable in zip(pdf[key], pdf["event_id"], _seconds(pdf["ts"]), pdf["time_sensitive"], pdf["cacheable"]):
-                if k != current:
-                    current, stored = k, None
-                if stored and t < stored[1] + stored[2]:
-                    out.append((e, "hit", stored[0], int(t - stored[1])))
-                    continue
-                out.append((e, "miss", None, None))
-                if cacheable:
-                    stored = (e, t, DEFAULTS.ttl_time_sensitive_s if sensitive in (None, True) else DEFAULTS.ttl_s)
-            frame = pd.DataFrame(out, columns=["event_id", "kind", "stored_event_id", "age_s"])
-            yield frame.astype({"stored_event_id": "Int64", "age_s": "Int64"})
-
-    ordered = requests.select(key, "event_id", "ts", "time_sensitive", "cacheable").repartition(key).sortWithinPartitions(key, "ts", "event_id")
-    return ordered.mapInPandas(run, "event_id bigint, kind string, stored_event_id bigint, age_s bigint")
+    lifetime of its label; a miss whose answer is cacheable is stored anew, and a hit doesn't renew. A request without
+    a time is a miss that stores nothing."""
+    rows = requests.select(F.col(key), "event_id", "ts", "time_sensitive", "cacheable")
+    held = with_anchor(rows, key, F.col("cacheable"), ttl_for(F.col("time_sensitive")))
+    a = F.col("anchor")
+    hit = (a["pos"] < F.col("pos")) & (F.col("ts") < a["ends"])
+    age = F.when(hit, F.expr("CAST(CAST(ts - anchor.ts AS INTERVAL SECOND) AS BIGINT)"))
+    return held.select("event_id", F.when(hit, "hit").otherwise("miss").alias("kind"), F.when(hit, a["event_id"]).alias("stored_event_id"), age.alias("age_s"))
 
 
 def semantic_candidates(

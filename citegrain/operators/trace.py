@@ -56,6 +56,30 @@ def stage_summary(ranked: DataFrame, answers: DataFrame) -> DataFrame:
     return answers.join(found, "turn_id", "left").select("turn_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), "top_score", F.length(T.text(F.col("answer"))).cast("long").alias("answer_chars"), F.size(T.citation_markers(F.col("answer"))).cast("long").alias("markers"))
 
 
-def stage_latency(spans: DataFrame) -> DataFrame:
-    """(stage, n, mean, highest, error_rate, p95) from spans (stage, duration, failed)."""
-    return spans.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration"), 4).alias("mean"), F.max("duration").alias("highest"), F.round(F.avg(F.col("failed").cast("int")), 4).alias("error_rate"), F.percentile("duration", 0.95).alias("p95"))
+def stage_latency(spans: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """(stage, n, mean, highest, error_rate, p95) from spans (stage, duration, failed). With an `accuracy`, p95 is a span's duration
+    whose rank is off by n / accuracy at most, from sketches that tasks make and that merge; without, it is exact
+    and holds a stage's different durations in one task, for tables that allow it."""
+    p95 = F.percentile("duration", 0.95) if accuracy is None else F.percentile_approx("duration", 0.95, accuracy)
+    return spans.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration"), 4).alias("mean"), F.max("duration").alias("highest"), F.round(F.avg(F.col("failed").cast("int")), 4).alias("error_rate"), p95.alias("p95"))
+
+
+def stage_outputs(states: DataFrame) -> DataFrame:
+    """(turn_id, stage, mode, sub_queries, answer_format, needs_web, sources, chunks, document_chunks, images, ranked_chunks, top_score,
+    answer_chars, citations, invalid_citations, confidence, follow_ups): what each stage (triage, search, rerank, synthesize, chat)
+    of a turn made, as counts; null is what a stage has no say in. `states` has (turn_id, stage) and whatever columns of
+    (mode, sub_queries, answer_format, needs_web, search_results, scraped_content, document_chunks, images, ranked_chunks, draft_answer,
+    citations, invalid_citations, confidence, follow_ups) were logged; other stages have no row."""
+    there = lambda name, of, none: of(F.col(name)) if name in states.columns else F.lit(none)
+    size = lambda name: there(name, lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long"), 0).cast("long")
+    chars = there("draft_answer", lambda c: F.length(T.text(c)), 0).cast("long")
+    score = there("ranked_chunks", lambda c: F.round(F.coalesce(F.get(c, F.lit(0))["score"], F.lit(0.0)), 4), 0.0).cast("double")
+    made = {
+        "mode": ("triage", there("mode", lambda c: c, None).cast("string")), "sub_queries": ("triage", size("sub_queries")), "answer_format": ("triage", there("answer_format", lambda c: c["type"], None).cast("string")),
+        "needs_web": ("triage", there("needs_web", lambda c: c, None).cast("boolean")), "sources": ("search", size("search_results")), "chunks": ("search", size("scraped_content")), "document_chunks": ("search", size("document_chunks")),
+        "images": ("search", size("images")), "ranked_chunks": ("rerank", size("ranked_chunks")), "top_score": ("rerank", score), "answer_chars": ("synthesize chat", chars), "citations": ("synthesize", size("citations")),
+        "invalid_citations": ("synthesize", F.coalesce(there("invalid_citations", lambda c: c, 0), F.lit(0)).cast("long")), "confidence": ("synthesize", F.coalesce(there("confidence", lambda c: c, 0.0), F.lit(0.0)).cast("double")),
+        "follow_ups": ("synthesize", size("follow_ups")),
+    }
+    stages = ("triage", "search", "rerank", "synthesize", "chat")
+    return states.where(F.col("stage").isin(*stages)).select("turn_id", "stage", *[F.when(F.col("stage").isin(*at.split()), value).alias(name) for name, (at, value) in made.items()])

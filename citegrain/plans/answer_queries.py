@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions import text as T
+from ..operators import answer_store as A
 from ..operators import citations as C
 from ..operators import reuse as R
 from ..operators import trace as S
@@ -121,6 +124,25 @@ a AS (WITH RECURSIVE f AS (
   FROM f JOIN r ON r.query = f.query AND r.rn = f.rn + 1) SELECT * FROM f)"""
 query("reuse_attribution", f"WITH {_REUSE} SELECT event_id, kind, hit_id AS stored_event_id, CAST(floor(epoch(ts - hit_ts)) AS BIGINT) AS age_s FROM a")(lambda spark, d: R.reuse_attribution(X.requests(spark, d)))
 
+
+
+def _exact_reuse(spark, d):
+    requests = X.requests(spark, d).withColumnRenamed("query", "key")
+    answers = requests.where("event_id % 3 = 0").withColumn("ttl_s", R.ttl_for(F.col("time_sensitive"))).withColumn("answer", F.expr("CASE WHEN event_id % 15 = 0 THEN ' ' ELSE concat('answer ', event_id) END"))
+    name = f"stored_answers_{uuid.uuid4().hex}"
+    A.save_answers(answers.select("key", "event_id", "ts", "ttl_s", "answer"), name)
+    return A.exact_reuse(requests.where("event_id % 3 <> 0").select("event_id", "key", "ts"), name)
+
+
+query("exact_reuse", f"""WITH {Q.REQUESTS}, s AS (
+  SELECT query AS key, ts, max(event_id) AS stored_event_id, arg_max(CASE WHEN time_sensitive THEN 900 ELSE 21600 END, event_id) AS ttl_s, arg_max(CASE WHEN event_id % 15 = 0 THEN ' ' ELSE concat('answer ', event_id) END, event_id) AS answer
+  FROM requests WHERE event_id % 3 = 0 GROUP BY ALL
+), j AS (
+  SELECT r.event_id, r.query AS key, s.stored_event_id, s.answer, r.ts - s.ts AS age, r.ts < s.ts + to_seconds(s.ttl_s) AND trim(s.answer) <> '' AS hit FROM (SELECT * FROM requests WHERE event_id % 3 <> 0) r ASOF LEFT JOIN s ON s.key = r.query AND r.ts >= s.ts
+)
+SELECT event_id, key, CASE WHEN hit THEN 'hit' ELSE 'miss' END AS kind, CASE WHEN hit THEN stored_event_id END AS stored_event_id, CASE WHEN hit THEN answer END AS answer, CASE WHEN hit THEN CAST(floor(epoch(age)) AS BIGINT) END AS age_s
+FROM j""")(_exact_reuse)
+
 _LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 _GUARD = f"""CASE WHEN trim(a) = '' OR trim(b) = '' THEN 'empty question'
  WHEN len(dn) > 0 THEN concat('different numbers (', array_to_string(dn, ', '), ')') WHEN len(dp) > 0 THEN concat('different polarity (', array_to_string(dp, ', '), ')')

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..functions import text as T
 from ..operators import evals as E
+from ..operators import passages as P
 from ..operators import retrieval as V
 from ..operators import threads as H
 
@@ -93,7 +94,21 @@ query("merge_results", f"WITH {_SEARCH}, b AS (SELECT turn_id, url, position, su
 query("fallback_union", f"WITH {_SEARCH}, pr AS (SELECT turn_id, url, content FROM search WHERE sub_query = 0 AND turn_id % 3 <> 0 AND position < 2), s AS (SELECT turn_id, url, content FROM search WHERE sub_query = 1 AND position < 2), ok AS (SELECT DISTINCT turn_id FROM pr WHERE content <> '') SELECT * FROM pr WHERE turn_id IN (FROM ok) UNION ALL SELECT * FROM s WHERE turn_id NOT IN (FROM ok)")(
     lambda spark, d: (lambda s: V.fallback_union(s.where("sub_query = 0 AND turn_id % 3 <> 0 AND position < 2").select("turn_id", "url", "content"), s.where("sub_query = 1 AND position < 2").select("turn_id", "url", "content")))(_search(spark, d))
 )
-query("chunk_corpus")(lambda spark, d: V.chunk_text(X.table(spark, d, "documents")))
+query("chunk_corpus")(lambda spark, d: P.chunk_text(X.table(spark, d, "documents")))
+query("chunk_long_texts")(lambda spark, d: P.chunk_corpus(X.table(spark, d, "documents"), keep=("lang", "source")))
+query("chunk_pages")(lambda spark, d: P.chunk_pages(X.table(spark, d, "pages")))
+
+
+def _by_sql(text):
+    def run(spark, d):
+        P.register_table_functions(spark)
+        return spark.sql(text, documents=X.table(spark, d, "documents"))
+
+    return run
+
+
+query("chunk_lateral")(_by_sql("SELECT d.doc_id, c.chunk_no, c.passage AS text FROM {documents} d, LATERAL chunk_passages(d.text, 500, 50) c"))
+query("chunk_table")(_by_sql("SELECT id AS doc_id, chunk_no, passage AS text FROM chunk_table(TABLE(SELECT doc_id, text FROM {documents}))"))
 query("force_split", "SELECT doc_id, CAST(unnest(generate_series(0, (len(text) - 1) // 450)) AS INT) AS chunk_no, substr(text, unnest(generate_series(0, (len(text) - 1) // 450)) * 450 + 1, 500) AS text FROM documents WHERE len(text) > 0")(
     lambda spark, d: X.table(spark, d, "documents").select("doc_id", F.posexplode(T.force_split(F.col("text"))).alias("chunk_no", "text"))
 )

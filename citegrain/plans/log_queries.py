@@ -13,8 +13,9 @@ from ..operators import reuse as R
 from ..operators import trace as S
 from ..operators import usage as U
 from ..sources import ingest as I
-from ..storage import written
+from ..storage import scratch, stored, written
 from ..streaming import events as K
+from ..streaming import turns as N
 from . import relations_sql as Q
 from .answer_queries import _FOLD, _REUSE
 from .catalog import query
@@ -96,15 +97,47 @@ query("price_calls_unknown", f"WITH {Q.CALLS} SELECT count(*) AS calls, count(CA
 query("purge_stale_index", "SELECT vec_id FROM embeddings WHERE vec_id % 7 IN (SELECT CAST(n_nationkey AS BIGINT) FROM nation WHERE n_nationkey < 4)")(lambda spark, d: R.purge_stale_index(X.table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("key")), X.table(spark, d, "nation").where("n_nationkey < 4").select(F.col("n_nationkey").cast("long").alias("key"))).select("vec_id"))
 
 _LISTED = f"""{Q.ANSWERS}, {Q.SOURCES}, n AS (SELECT turn_id, count(*) AS n_sources FROM sources GROUP BY turn_id)"""
-query("fold_events", f"WITH {_LISTED} SELECT turn_id, answer, n.n_sources FROM answers JOIN n USING (turn_id)")(lambda spark, d: K.fold_events(K.replay_events(X.answers(spark, d), X.sources(spark, d))))
+query("fold_events", f"WITH {_LISTED} SELECT turn_id, answer, n.n_sources FROM answers JOIN n USING (turn_id)")(lambda spark, d: N.fold_events(N.replay_events(X.answers(spark, d), X.sources(spark, d))))
 query("replay_events", f"WITH {_LISTED} SELECT turn_id, CAST(i AS INT) AS seq, t AS type FROM (SELECT turn_id, unnest(generate_series(0, len(l) - 1)) AS i, unnest(l) AS t FROM (SELECT turn_id, list_filter([CASE WHEN query <> '' THEN 'sub_queries' END, 'sources', 'phase', 'token', 'done'], lambda x: x IS NOT NULL) AS l FROM answers))")(
-    lambda spark, d: K.replay_events(X.answers(spark, d), X.sources(spark, d)).select("turn_id", "seq", "type")
+    lambda spark, d: N.replay_events(X.answers(spark, d), X.sources(spark, d)).select("turn_id", "seq", "type")
 )
+query("replay_stored_turns", f"""WITH {Q.ANSWERS}, {Q.SOURCES}, s AS (SELECT turn_id, list({{'idx': idx, 'url': url, 'title': title}} ORDER BY idx) AS s FROM sources GROUP BY turn_id), l AS (
+  SELECT turn_id, list_filter([
+    CASE WHEN turn_id % 2 = 0 THEN {{'type': 'sub_queries', 'payload': CAST(to_json({{'queries': [query, concat(query, ' in detail')]}}) AS VARCHAR)}} END,
+    {{'type': 'sources', 'payload': CAST(to_json({{'sources': s, 'replace': true}}) AS VARCHAR)}},
+    CASE WHEN turn_id % 4 <> 1 THEN {{'type': 'images', 'payload': CAST(to_json({{'images': [{{'image': concat('https://i.example.com/', turn_id, '.png'), 'domain': 'i.example.com'}}]}}) AS VARCHAR)}} END,
+    {{'type': 'phase', 'payload': '{{"phase":"writing","message":"Synthesizing your answer..."}}'}}, {{'type': 'token', 'payload': CAST(to_json({{'token': answer}}) AS VARCHAR)}},
+    CASE WHEN turn_id % 5 < 3 OR turn_id % 3 = 0 THEN {{'type': 'trace', 'payload': concat('{{"sources":', CASE WHEN turn_id % 5 < 3 THEN to_json([{{'url': concat('https://t.example.com/', turn_id), 'chunks': 2}}]) ELSE '[]' END, ',"sub_queries":', CASE WHEN turn_id % 3 = 0 THEN to_json([query]) ELSE '[]' END, '}}')}} END,
+    CASE WHEN turn_id % 3 <> 2 THEN {{'type': 'follow_up', 'payload': CAST(to_json({{'suggestions': [concat('more on ', turn_id), 'why']}}) AS VARCHAR)}} END, {{'type': 'done', 'payload': concat('{{"id":', turn_id, '}}')}}
+  ], lambda x: x IS NOT NULL) AS l FROM answers JOIN s USING (turn_id)
+) SELECT turn_id, CAST(i - 1 AS INT) AS seq, l[i].type AS type, l[i].payload AS payload FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM l)""")(lambda spark, d: N.replay_events(X.stored_turns(spark, d), X.sources(spark, d)))
+
+
+def _shown(turns):
+    urls = F.array_join(F.transform("sources", lambda s: s["url"]), ",")
+    return turns.select("turn_id", "answer", urls.alias("urls"), "images", "trace", F.coalesce(F.array_join("follow_ups", "|"), F.lit("")).alias("follow_ups"), "error")
+
+
+def _turns_stream(spark, d):
+    """The live log in four runs that share their state, events dealt by a hash; the last run also sees an event of much later."""
+    log = stored(X.live_log(spark, d).withColumn("run", F.pmod(F.xxhash64("turn_id", "seq"), F.lit(4))), "live")
+    later = log.sparkSession.sql("SELECT -1L AS turn_id, 0 AS seq, TIMESTAMP'2044-01-01' AS ts, 'phase' AS type, '{}' AS payload")
+    folder, place = scratch(spark, "log"), scratch(spark, "turns")
+    for run in range(4):
+        part = log.where(F.col("run") == run).drop("run")
+        (part.unionByName(later) if run == 3 else part).write.mode("append").parquet(folder)
+        rows = K.run_available(N.fold_turns_stream(spark.readStream.schema(part.schema).parquet(folder), late="3000 days"), place=place)
+    return rows
+
+
+query("fold_turns", f"WITH {Q.LIVE} SELECT * FROM live")(lambda spark, d: _shown(N.fold_turns(X.live_log(spark, d))))
+query("fold_turns_stream", f"WITH {Q.LIVE} SELECT * FROM live")(lambda spark, d: _shown(_turns_stream(spark, d)))
+query("idle_turns", f"WITH {Q.LIVE} SELECT turn_id, error FROM live WHERE turn_id % 17 = 6 OR turn_id % 13 = 4")(lambda spark, d: N.fold_turns(X.live_log(spark, d)).where("error = 'timeout'").select("turn_id", "error"))
 
 
 def _fold_stream(spark, d):
-    events = K.replay_events(X.answers(spark, d), X.sources(spark, d))
-    return K.run_available(K.fold_events_stream(spark.readStream.schema(events.schema).parquet(written(events, "log")), None)).where("error IS NULL").drop("error")
+    events = N.replay_events(X.answers(spark, d), X.sources(spark, d)).withColumn("ts", F.expr("TIMESTAMP'2024-01-01' + make_dt_interval(0, 0, 0, seq)"))
+    return K.run_available(N.fold_events_stream(spark.readStream.schema(events.schema).parquet(written(events, "log")))).where("error IS NULL").drop("error")
 
 
 def _requests_stream(spark, d):

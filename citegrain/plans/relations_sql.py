@@ -15,6 +15,11 @@ ANSWERS = TURNS + """, answers AS (
            WHEN (i + turn_id) % 3 <> 0 THEN concat(' [', 1 + (i * 7 + session_id) % (n_sources + 2), ']') ELSE '' END)), chr(10))) AS answer
   FROM turns
 )"""
+MARKED = ANSWERS + """, marked AS (
+  SELECT turn_id, array_to_string(list_transform(str_split(answer, chr(10)), lambda x, i: concat(
+    CASE (turn_id + (i - 1) * 3) % 11 WHEN 1 THEN '```' || chr(10) WHEN 3 THEN ' ~~~ text' || chr(10) WHEN 4 THEN '```' || chr(10) WHEN 5 THEN '## ' WHEN 6 THEN repeat(chr(10), 3)
+      WHEN 7 THEN '1. ' WHEN 8 THEN '**bold** `code` _it_ [site](http://x.example) ' ELSE '' END, x)), chr(10)) AS answer FROM answers
+)"""
 SOURCES = """sources AS (
   SELECT turn_id, k AS idx, concat('https://', CASE WHEN k % 3 = 0 THEN 'www.' ELSE '' END, 'site', (session_id + k) % 20, '.example.com/d/', session_id * 10 + k) AS url, concat('Title ', k) AS title
   FROM turns, unnest(generate_series(1, n_sources)) AS g(k)
@@ -51,3 +56,12 @@ NUMBERED = """numbered AS (
         SELECT *, min(position) OVER (PARTITION BY turn_id, source_url) AS first FROM ranked WHERE source_url <> '' AND text <> ''
       ) a) b WHERE src <= 8) c WHERE n <= 12
 )"""
+# turns of the live log: what each comes to once all time has passed
+LIVE = f"""{ANSWERS}, {SOURCES}, listed AS (
+  SELECT turn_id, string_agg(url, ',' ORDER BY idx) AS urls, string_agg(url, ',' ORDER BY idx % 2 DESC, idx) AS odd_first, string_agg(url, ',' ORDER BY idx) FILTER (idx % 2 = 1) AS odd FROM sources GROUP BY turn_id
+), live AS (
+  SELECT turn_id, CASE WHEN turn_id % 17 = 6 THEN substr(answer, 1, 60) ELSE answer END AS answer, CASE WHEN turn_id % 17 = 6 THEN odd WHEN turn_id % 3 = 0 THEN urls ELSE odd_first END AS urls,
+    CASE WHEN turn_id % 17 = 6 THEN '["first"]' ELSE concat('["last ', turn_id, '"]') END AS images, CASE WHEN turn_id % 17 <> 6 THEN concat('{{"turn":', turn_id, '}}') END AS trace,
+    CASE WHEN turn_id % 17 = 6 THEN '' ELSE concat('more on ', turn_id, '|why') END AS follow_ups, CASE WHEN turn_id % 17 = 6 OR turn_id % 13 = 4 THEN 'timeout' END AS error
+  FROM answers JOIN listed USING (turn_id) WHERE turn_id % 11 <> 5 OR turn_id % 17 = 6
+)"""

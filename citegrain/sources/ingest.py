@@ -5,13 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import DEFAULTS
 from ..functions import text as T
@@ -117,14 +118,15 @@ def main_text(html: str | None) -> str | None:
     return text if len(text) > 50 else None
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text): main text of pages; null where 50 characters or fewer are left."""
+def extract_pages(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(page_id, url, text, columns of `keep`): main text of pages; null where 50 characters or fewer are left."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": pdf["html"].map(main_text)})
+            yield pdf.assign(text=pdf["html"].map(main_text))[["page_id", "url", "text", *keep]]
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, text string")
+    schema = StructType([*StructType.fromDDL("page_id bigint, url string, text string"), *(pages.schema[c] for c in keep)])
+    return pages.select("page_id", "url", "html", *keep).mapInPandas(run, schema)
 
 
 def read_sse(spark: SparkSession, path: str) -> DataFrame:

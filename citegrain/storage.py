@@ -24,3 +24,8 @@ def written(df: DataFrame, name: str) -> str:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back, which cuts its lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))

@@ -1,4 +1,4 @@
-"""Event logs folded into turns, and state over request streams, each with its batch twin."""
+"""State over request streams, each with its batch twin."""
 
 from __future__ import annotations
 
@@ -10,82 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULTS
-from ..functions import text as T
 from ..storage import scratch
 
 
-def replay_events(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """(turn_id, seq, type, payload): the events that would show a stored turn again. Empty sections are left
-    out, the token always comes; `answers` has (turn_id, query, answer)."""
-    listed = sources.groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("idx", "url", "title"))).alias("items"))
-    event = lambda kind, payload: F.struct(F.lit(kind).alias("type"), F.to_json(payload).alias("payload"))
-    has = F.coalesce(F.size("items"), F.lit(0)) > 0
-    events = F.array_compact(F.array(
-        F.when(T.text(F.col("query")) != "", event("sub_queries", F.struct(F.array("query").alias("items")))),
-        F.when(has, event("sources", F.struct(F.lit(True).alias("replace"), "items"))),
-        event("phase", F.struct(F.lit("answering").alias("name"))),
-        event("token", F.struct(T.text(F.col("answer")).alias("text"))),
-        event("done", F.struct(F.col("turn_id").alias("id"))),
-    ))
-    return answers.join(listed, "turn_id", "left").select("turn_id", F.posexplode(events).alias("seq", "e")).select("turn_id", "seq", "e.type", "e.payload")
-
-
-ITEMS = "struct<replace:boolean,items:array<struct<idx:bigint,url:string,title:string>>>"
-
-
-def merge_source_events(events: DataFrame) -> DataFrame:
-    """(turn_id, urls): the last list that replaces, then unseen URLs of later lists."""
-    lists = events.where("type = 'sources'").select("turn_id", "seq", F.from_json("payload", ITEMS).alias("s"))
-    last = lists.where("s.replace").groupBy("turn_id").agg(F.max("seq").alias("from"))
-    urls = lists.join(last, "turn_id", "left").where("seq >= coalesce(from, -1)").select("turn_id", "seq", F.posexplode("s.items").alias("place", "item"))
-    once = urls.groupBy("turn_id", "item.url").agg(F.min(F.struct("seq", "place")).alias("at"))
-    return once.groupBy("turn_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "url"))), lambda x: x["url"]).alias("urls"))
-
-
-def fold_events(events: DataFrame) -> DataFrame:
-    """(turn_id, answer, n_sources): turns that are done and had no error before; tokens joined in order."""
-    ends = events.groupBy("turn_id").agg(F.min(F.when(F.col("type") == "done", F.col("seq"))).alias("done"), F.min(F.when(F.col("type") == "error", F.col("seq"))).alias("error"))
-    good = ends.where("done IS NOT NULL AND (error IS NULL OR error > done)")
-    tokens = events.where("type = 'token'").groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.get_json_object("payload", "$.text").alias("t")))).alias("tokens"))
-    answer = F.array_join(F.transform(F.filter("tokens", lambda x: x["seq"] < F.col("done")), lambda x: x["t"]), "")
-    return good.join(tokens, "turn_id", "left").join(merge_source_events(events), "turn_id", "left").select("turn_id", F.coalesce(answer, F.lit("")).alias("answer"), F.greatest(F.coalesce(F.size("urls"), F.lit(0)), F.lit(0)).cast("long").alias("n_sources"))
-
-
-def fold_events_stream(events: DataFrame, idle_ms: int | None = 300_000) -> DataFrame:
-    """The stream twin of `fold_events`; a turn idle for too long comes out with error 'timeout'. A run over what
-    is there now (`run_available`) takes idle_ms=None, as Spark goes on making batches while a timeout is set."""
-    import json
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        answer, urls, error = state.get if state.exists else ("", "[]", False)
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-            out = [] if error else [(key[0], answer, len(json.loads(urls)), "timeout")]
-        else:
-            seen = json.loads(urls)
-            for _, _, kind, payload in pd.concat(list(frames)).sort_values("seq")[["turn_id", "seq", "type", "payload"]].itertuples(index=False):
-                body = json.loads(payload)
-                if kind == "token":
-                    answer += body.get("text") or ""
-                elif kind == "sources":
-                    seen = [] if body.get("replace") else seen
-                    seen += [u for u in dict.fromkeys(i["url"] for i in body["items"]) if u not in seen]
-                elif kind == "error":
-                    error = True
-                elif kind == "done" and not error:
-                    out.append((key[0], answer, len(seen), None))
-            state.update((answer, json.dumps(seen), error))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-            if out:
-                state.remove()
-        yield pd.DataFrame(out, columns=["turn_id", "answer", "n_sources", "error"])
-
-    schema = "turn_id bigint, answer string, n_sources bigint, error string"
-    return events.groupBy("turn_id").applyInPandasWithState(fold, schema, "answer string, urls string, error boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
-
-
 def rate_limit_stream(events: DataFrame, duration_s: int = DEFAULTS.rate_window_s, limit: int = DEFAULTS.rate_limit) -> DataFrame:
     """The stream twin of `anchored_windows`, keyed by user_id; state is one window's start and count."""
 
@@ -134,17 +61,26 @@ def usage_stream(priced: DataFrame, late: str = "1 hour") -> DataFrame:
     return priced.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "stage").agg(F.count(F.lit(1)).alias("calls"), F.sum("total_tokens").alias("total_tokens"), F.round(F.sum("cost_usd"), 4).alias("cost_usd")).select(F.col("w.start").alias("day"), "stage", "calls", "total_tokens", "cost_usd")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_available(stream: DataFrame, mode: str = "append", place: str | None = None) -> DataFrame:
     """Run a stream over all that is there now and read what it wrote to the shared folder. In complete mode
-    each batch replaces the rows of the one before."""
+    each batch replaces the rows of the one before. A later run with the same `place` goes on where this one ended."""
     spark: SparkSession = stream.sparkSession
-    out, checkpoint = scratch(spark, "stream"), scratch(spark, "progress")
+    place = place or scratch(spark, "stream")
+    out = f"{place}/rows"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # a batch that is retried after a failure replaces what it wrote before
         batch.write.mode("overwrite").parquet(f"{out}/{batch_id if mode == 'append' else 'all'}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
 
 

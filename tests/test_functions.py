@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citegrain.functions import text as T
-from citegrain.operators import citations, evals, retrieval, reuse
+from citegrain.operators import citations, evals, passages, reuse
 from citegrain.sources import ingest
 
 
@@ -62,13 +62,13 @@ def test_audit_of_nulls_and_no_sources(spark):
 
 @pytest.mark.parametrize("text, n", [("", 0), ("   ", 0), ("short", 1), ("x" * 500, 1), ("word " * 400, 4), ("y" * 1300, 3)])
 def test_chunks(spark, text, n):
-    chunks = retrieval.passages(text, 500, 50)
+    chunks = passages.passages(text, 500, 50)
     assert len(chunks) == n
     assert all(w in " ".join(chunks) for w in text.split()) or len(text.split()) == 1
 
 
 def test_chunks_keep_order_and_overlap():
-    chunks = retrieval.passages("\n\n".join(f"Paragraph {i} says something of its own here." for i in range(20)), 100, 10)
+    chunks = passages.passages("\n\n".join(f"Paragraph {i} says something of its own here." for i in range(20)), 100, 10)
     assert all(b.startswith(a[-10:].strip()[:3]) or a[-10:] in b for a, b in zip(chunks, chunks[1:]))
 
 

@@ -9,7 +9,6 @@ from citegrain.plans import catalog
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-STREAMS = {q for q in catalog.QUERIES if q.endswith("_stream")}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def rows(table, columns):
     return sorted(tuple(told(r[c]) for c in columns) for r in table.to_pylist())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - STREAMS | {"rate_limit_stream"}))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, DATA).toArrow()
     want = duck.execute(catalog.ORACLES[name]).to_arrow_table()
