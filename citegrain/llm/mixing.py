@@ -1,14 +1,16 @@
 """Mix sources to target weights by pivotal dependent rounding.
 
 Each document of a source gets target / size of the source copies: a whole number and a fractional
-probability. Pairs of fractional documents then meet: word mass moves from one to the other, in a
-direction drawn so that every document's expected copies stay what they were, until one of the two
-is integral. The words of a source are therefore kept exactly until a single fractional document is
-left, and that one is rounded by its probability. Documents meet inside buckets first; the one
-residual of each bucket goes on to the next level of a reduction tree of fixed fan-in.
-
-Draws hash the documents' ids and texts with the seed, so reruns agree. Documents without words take part and
-take nothing. Null texts have no words; null is a source of its own, last. Repeated rows are
+probability. The longest fractional document is then paired with the pool of the others: word mass
+moves from one to the other, in a direction drawn so that every document's expected copies stay what they
+were, until one of them is integral. The words of a source are therefore kept exactly until a single
+fractional document is left, a short one, and that one is rounded by its probability. A document that
+outweighs what the others can make up for goes the way that they can, so that targets come before the
+expectation of such a document. Documents meet inside buckets first; the one residual of each bucket goes on to the next level
+of a reduction tree of fixed fan-in.
+
+Draws hash the documents' ids and texts with the seed, so reruns agree. Documents without words are rounded by
+themselves and take nothing. Null texts have no words; null is a source of its own, last. Repeated rows are
 documents of their own. An empty table gives no rows.
 """
 
@@ -60,36 +62,49 @@ def _mix64(x: int) -> int:
     return x ^ x >> 31
 
 
+def _draw(*words: int) -> float:
+    """A number in [0, 1) that depends on the words alone."""
+    x = 0
+    for word in words:
+        x = _mix64((x + int(word)) * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F & _MASK)
+    return x / 2.0**64
+
+
 def meet(keys: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: int, last: bool) -> tuple[np.ndarray, int | None]:
-    """(copies 0 or 1 or the residual's probability, the residual's index) of documents that meet in
-    the given order; where `last`, the residual is rounded too."""
-    p = p.astype(float).copy()
-    done = 1e-9
-    held = None
-    for i in range(len(p)):
-        if p[i] < done or p[i] > 1 - done:
-            p[i] = round(p[i])
-            continue
-        if held is None:
-            held = i
-            continue
-        a, b = held, i
-        wa, wb = float(max(sizes[a], 1)), float(max(sizes[b], 1))
-        up = min((1 - p[a]) * wa, p[b] * wb)  # words that can move to a
-        down = min(p[a] * wa, (1 - p[b]) * wb)
-        draw = _mix64((int(keys[a]) * 0x9E3779B97F4A7C15 + int(keys[b]) * 0xC2B2AE3D27D4EB4F + seed) & _MASK) / 2.0**64
-        move = up if draw * (up + down) < down else -down
-        p[a], p[b] = p[a] + move / wa, p[b] - move / wb
-        fractional = [k for k in (a, b) if done <= p[k] <= 1 - done]
-        for k in (a, b):
-            if k not in fractional:
-                p[k] = round(p[k])
-        held = min(fractional, key=lambda k: sizes[k]) if fractional else None
-    if held is not None and last:
-        draw = _mix64((int(keys[held]) * 0x9E3779B97F4A7C15 + seed + 1) & _MASK) / 2.0**64
-        p[held] = float(draw < p[held])
-        held = None
-    return p, held
+    """(copies 0 or 1 or the residual's probability, the residual's index) of documents in falling order of size; where
+    `last`, the residual is rounded too.
+
+    The longest fractional document meets the pool of all others: words move between it and the pool, whose members all
+    shift by the same probability, until it or a member is integral. So long documents settle while there is a
+    pool to make up for them, and what is left over is short. At the root a document so long that the pool can make up for
+    one way only takes that way: the source then keeps its target, and this document alone not its expectation."""
+    p, done = p.astype(float).copy(), 1e-9
+    for i in np.flatnonzero(sizes == 0):  # no words to move
+        p[i] = float(_draw(keys[i], seed, i) < p[i])
+    p[p < done], p[p > 1 - done] = 0, 1
+    left = np.flatnonzero((p > 0) & (p < 1))
+    while len(left) > 1:
+        a, pool = left[0], left[1:]
+        own, words = float(sizes[a]), float(sizes[pool].sum())
+        up = min((1 - p[a]) * own, p[pool].min() * words)  # words that can move to a
+        down = min(p[a] * own, (1 - p[pool].max()) * words)
+        rises = _draw(keys[a], keys[pool[0]], len(pool), seed) * (up + down) < down
+        if last:  # no later pool makes up for a way in which this one runs full or empty
+            settles_up, settles_down = up >= (1 - p[a]) * own * (1 - done), down >= p[a] * own * (1 - done)
+            rises = settles_up if settles_up != settles_down else rises
+        move = up if rises else -down
+        p[a] += move / own
+        p[pool] -= move / words
+        met = p[left]
+        met[met < done], met[met > 1 - done] = 0, 1
+        p[left] = met
+        left = left[(met > 0) & (met < 1)]
+    if len(left) == 0:
+        return p, None
+    held = int(left[0])
+    if last:
+        p[held] = float(_draw(keys[held], seed) < p[held])
+    return p, None if last else held
 
 
 def with_source_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -114,6 +129,16 @@ def pivotal_copies(docs: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_RO
         "doc_id", "hash", "source", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"),
         F.xxhash64(F.lit(seed), "doc_id", "hash").alias("key"), "buckets", F.lit(False).alias("settled"),
     )
+    # rows alike in id and text have one key; where they would outgrow a bucket, numbers of their own deal them
+    alike = docs.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("source").alias("_of")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > bucket_rows)
+    alike = materialize(alike, "alike")
+    if alike.limit(1).count():
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash").eqNullSafe(F.col("_hash"))) & F.col("source").eqNullSafe(F.col("_of"))
+        few = F.broadcast(alike) if alike.count() <= BROADCAST_SOURCES else alike
+        own = F.when(F.col("_rows").isNotNull(), F.monotonically_increasing_id()).otherwise(0)
+        rows = rows.join(few, same, "left").withColumn("dealt", F.xxhash64("key", own)).drop("_id", "_hash", "_of", "_rows")
+    else:
+        rows = rows.withColumn("dealt", F.col("key"))
     schema = rows.schema
 
     def run(group: pa.Table) -> pa.Table:
@@ -125,7 +150,7 @@ def pivotal_copies(docs: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_RO
 
     out = None
     while True:
-        done = rows.groupBy("source", F.pmod(F.col("key"), F.col("buckets"))).applyInArrow(lambda t: run(t), schema)
+        done = rows.groupBy("source", F.pmod(F.col("dealt"), F.col("buckets"))).applyInArrow(lambda t: run(t), schema)
         done = materialize(done, "mixing")
         out = done.where("settled") if out is None else out.unionByName(done.where("settled"))
         if most <= 1:
