@@ -10,6 +10,10 @@ A card or IBAN that runs on into other groups is tried shorter, down to each sep
 groups on. Such tries take only cards in groups of four digits and more, but for the last, as any row of
 small numbers holds sums that check. Where two numbers touch, undoing can meet another split.
 
+Not found are values without their marks (ten or nine bare digits as a phone or social security number), cards
+in groups parted by dots, digits of other scripts than ASCII, IPv6 addresses of fewer than four groups or in
+upper case, and dates outside the years 1800 to 2099: too much else looks like them.
+
 Null texts stay null with 0 found; texts without a match are returned as they are. Texts of any
 length are searched whole; repeated rows get equal results. All other columns pass through; a column
 called like an added one is replaced.
@@ -18,6 +22,7 @@ called like an added one is replaced.
 from __future__ import annotations
 
 import datetime
+import ipaddress
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -31,7 +36,10 @@ from pyspark.sql import functions as F
 from .common import slices
 
 ROUNDS = 8
+DIGITS = "0123456789"
 KINDS = ("email", "phone", "card", "ssn", "iban", "ip", "date", "secret")
+#: Hexadecimal groups that an IPv6 address tells at least.
+IPV6_GROUPS = 4
 
 
 def permute(rank: int, size: int, key: bytes, tweak: str, undo: bool = False) -> int:
@@ -101,7 +109,7 @@ def _spelled_block(value: str, step: Step, tweak: str, hexadecimal: bool) -> str
 def _refill(layout: str, digits: str) -> str:
     """The layout with its digits replaced in order."""
     left = iter(digits)
-    return "".join(next(left) if c.isdigit() else c for c in layout)
+    return "".join(next(left) if c in DIGITS else c for c in layout)
 
 
 def luhn_digit(digits: str) -> str:
@@ -110,24 +118,24 @@ def luhn_digit(digits: str) -> str:
 
 
 def _is_card(value: str) -> bool:
-    digits = re.sub(r"\D", "", value)
+    digits = re.sub(r"[^0-9]", "", value)
     return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
 
 
 def _card(value: str, step: Step) -> str | None:
     if not _is_card(value):
         return None
-    digits = re.sub(r"\D", "", value)
+    digits = re.sub(r"[^0-9]", "", value)
     body = digits[0] + f"{step(int(digits[1:-1]), 10 ** (len(digits) - 2), f'card:{len(digits)}'):0{len(digits) - 2}d}"
     return _refill(value, body + luhn_digit(body))
 
 
 def _phone(value: str, step: Step) -> str | None:
-    digits = re.sub(r"\D", "", value)
+    digits = re.sub(r"[^0-9]", "", value)
     if len(digits) == 11 and digits[0] == "1":
         digits = digits[1:]
-    if value.startswith("+") and not re.match(r"\+1(?!\d{1,2}\b)", value):
-        digits = re.sub(r"\D", "", value)
+    if value.startswith("+") and not re.match(r"\+1(?![0-9]{1,2}\b)", value):
+        digits = re.sub(r"[^0-9]", "", value)
         if not 8 <= len(digits) <= 15:
             return None
         n = len(digits) - 2
@@ -137,7 +145,7 @@ def _phone(value: str, step: Step) -> str | None:
     area, exchange, line = int(digits[:3]) - 200, int(digits[3:6]) - 200, int(digits[6:])
     rank = step((area * 800 + exchange) * 10_000 + line, 800 * 800 * 10_000, "phone:1")
     new = f"{rank // 8_000_000 + 200}{rank // 10_000 % 800 + 200}{rank % 10_000:04d}"
-    return _refill(value, "1" * (sum(c.isdigit() for c in value) - 10) + new)
+    return _refill(value, "1" * (sum(c in DIGITS for c in value) - 10) + new)
 
 
 def _ssn(value: str, step: Step) -> str | None:
@@ -176,7 +184,17 @@ def _ip(value: str, step: Step) -> str | None:
     return f"{rank // (65536 * 254) + 1}.{rank // (256 * 254) % 256}.{rank // 254 % 256}.{rank % 254 + 1}"
 
 
-_FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  #: to the end of 2099
+def _ipv6(value: str, step: Step) -> str | None:
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    groups = [g for g in value.split(":") if g]
+    return _spelled(value, step, "ip6", True) if len(groups) >= IPV6_GROUPS and value == value.lower() else None
+
+
+_FIRST_DAY = datetime.date(1800, 1, 1).toordinal()
+_DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
 
 def _date(value: str, step: Step) -> str | None:
@@ -208,22 +226,24 @@ _AFTER = r"(?![\w@])"
 _RULES: list[tuple[str, re.Pattern, Callable[[str, Step], str | None]]] = [
     ("secret", re.compile(r"\bAKIA([0-9A-Z]{16})\b"), _secret),
     ("secret", re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s?[=:]\s?[\"']?)([^\s\"',;]{6,})"), _secret),
-    ("iban", re.compile(r"(?<!\w)([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), _iban),
-    ("ip", re.compile(r"(?<![\w.])((?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?!\w|\.\d)"), _ip),
-    ("date", re.compile(r"(?<![\w/.-])(\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])"), _date),
-    ("ssn", re.compile(r"(?<![\w-])(\d{3}-\d\d-\d{4})(?![\w-])"), _ssn),
-    ("phone", re.compile(r"(?<![\w+(])((?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4})" + _AFTER), _phone),
-    ("phone", re.compile(r"(?<![\w+])(\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,9}\)?){2,5})" + _AFTER), _phone),
-    ("card", re.compile(r"(?<![\w-])(\d(?:[ -]?\d){12,18})(?![\w-])"), _card),
-    ("card", re.compile(r"(?<!\d)(\d{13,19})(?!\d)"), _card),
+    ("iban", re.compile(r"(?<!\w)([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), _iban),
+    ("ip", re.compile(r"(?<![\w.])((?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]))(?!\w|\.[0-9])"), _ip),
+    ("ip", re.compile(r"(?<![\w:.])((?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4})(?![\w:.])"), _ipv6),
+    ("date", re.compile(r"(?<![\w/.-])([0-9]{4}-[0-9][0-9]-[0-9][0-9]|[0-9]{4}/[0-9][0-9]/[0-9][0-9]|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-])"), _date),
+    ("ssn", re.compile(r"(?<![\w-])([0-9]{3}-[0-9][0-9]-[0-9]{4})(?![\w-])"), _ssn),
+    ("phone", re.compile(r"(?<![\w+(])((?:\+?1[ .-]?)?(?:\([2-9][0-9][0-9]\) ?[2-9][0-9][0-9][ .-]?|[2-9][0-9][0-9][ .-][2-9][0-9][0-9][ .-])[0-9]{4})" + _AFTER), _phone),
+    ("phone", re.compile(r"(?<![\w+])(\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,9}\)?){2,5})" + _AFTER), _phone),
+    ("card", re.compile(r"(?<![\w-])([0-9](?:[ -]?[0-9]){12,18})(?![\w-])"), _card),
+    ("card", re.compile(r"(?<![0-9])([0-9]{13,19})(?![0-9])"), _card),
 ]
-_LOCAL, _DOMAIN = re.compile(r"[\w.%+-]{1,64}\Z"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62}){0,8}\.[A-Za-z]{2,24}(?![\w-])")
-_WORTH = re.compile(r"[\d@]")
+_LOCAL = re.compile(r"[\w.%+-]")
+_DOMAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9][A-Za-z0-9-]*+)*\.[A-Za-z]{2,24}(?![\w-])")
+_WORTH = re.compile(r"[0-9@]")
 _NAMED = re.compile(r"(?i)password|passwd|pwd|secret|token|api[_-]?key")
 
 
 _GROUPED = {_card: _is_card, _iban: _is_iban}
-_CARD_GROUPS = re.compile(r"(?:\d{4,}[ -])*\d+")
+_CARD_GROUPS = re.compile(r"(?:[0-9]{4,}[ -])*[0-9]+")
 
 
 def _grouped(text: str, kind: str, pattern: re.Pattern, write: Callable[[str, Step], str | None]) -> Iterator[tuple[int, int, str, Callable[[str, Step], str | None]]]:
@@ -232,13 +252,14 @@ def _grouped(text: str, kind: str, pattern: re.Pattern, write: Callable[[str, St
     while m := pattern.search(text, at):
         start, end = m.span(1)
         first, at = start > run, end  # later starts in what has failed are tried like shorter ends
+        failed = [f for f in failed if f[1] > start]  # those that end before this start touch nothing that follows
         ends = [end, *(k for k in range(end - 1, start, -1) if text[k] in " -")]
         for k in ends:
             value = text[start:k]
             if (not first or k < end) and kind == "card" and not _CARD_GROUPS.fullmatch(value):
                 continue
             if valid(value):
-                near = [(a, b) for a, b in failed[-1000:] if a < k and b > start]
+                near = [(a, b) for a, b in failed if a < k]
 
                 def walked(value: str, step: Step, start: int = start, k: int = k, near: list = near) -> str | None:
                     """A value beside which all that failed before it still fails, so that it is found when undone."""
@@ -262,10 +283,12 @@ def find(text: str) -> Iterator[tuple[int, int, str, Callable[[str, Step], str |
     """Candidates (start, end, kind, how to write it anew), those of higher priority first."""
     at = text.find("@")
     while at >= 0:
-        local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if local and domain:
-            tld = domain.group().rindex(".") + at + 1
-            yield local.start(), tld, "email", lambda v, step: _spelled(v, step, "email")
+        if domain := _DOMAIN.match(text, at + 1):
+            start = at
+            while start > 0 and _LOCAL.match(text, start - 1):
+                start -= 1
+            if start < at:
+                yield start, domain.group().rindex(".") + at + 1, "email", lambda v, step: _spelled(v, step, "email")
         at = text.find("@", at + 1)
     named = bool(_NAMED.search(text))
     for kind, pattern, write in _RULES:
