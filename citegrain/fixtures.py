@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -116,7 +118,7 @@ def semantic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     asked = questions(spark, sf_dir).select("q_id", "question")
     n = asked.agg((F.max("q_id") + 1).alias("n"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("bucket"), F.col("embedding").cast("array<double>").alias("e"))
-    rows = rows.join(F.broadcast(n)).withColumn("q_id", F.expr("(vec_id div 40 * 8 + vec_id % 8) % n")).join(asked, "q_id").drop("q_id", "n")
+    rows = stored(rows.join(F.broadcast(n)).withColumn("q_id", F.expr("(vec_id div 40 * 8 + vec_id % 8) % n")).join(asked, "q_id").drop("q_id", "n"), "vectors")
     lookups = rows.where("vec_id % 5 = 0").withColumn("now", F.expr("1000 + vec_id % 50"))
     index = rows.where("vec_id % 5 <> 0").selectExpr("*", "vec_id AS key", "1000 - vec_id % 20 * 15 AS t", "vec_id % 4 = 0 AS time_sensitive")
     answers = index.where("vec_id % 7 <> 1").selectExpr("key", "CASE WHEN vec_id % 7 = 2 THEN ' ' ELSE question END AS answer")

@@ -9,17 +9,22 @@ from ..config import DEFAULTS
 from ..functions import text as T
 
 
+def with_audit(answers: DataFrame) -> DataFrame:
+    """`answers` (answer, n_sources, ...) with n_markers, n_valid_distinct, invalid, n_invalid, utilization and confidence."""
+    n = F.coalesce("n_sources", F.lit(0))
+    marked = answers.withColumn("_n", n).withColumn("_m", T.citation_markers(F.col("answer")))
+    inside = lambda x: (x >= 1) & (x <= F.col("_n"))
+    valid = F.size(F.array_distinct(F.filter("_m", inside)))
+    invalid = F.array_sort(F.array_distinct(F.filter("_m", lambda x: ~inside(x) & (F.col("_n") > 0))))
+    told = marked.withColumns({"n_markers": F.size("_m").cast("long"), "n_valid_distinct": valid.cast("long"), "invalid": invalid})
+    return told.withColumns({
+        "n_invalid": F.size("invalid").cast("long"), "utilization": F.when(F.col("_n") > 0, F.round(F.col("n_valid_distinct") / F.col("_n"), 6)).otherwise(0.0), "confidence": confidence(F.col("_n")),
+    }).drop("_n", "_m")
+
+
 def citation_audit(answers: DataFrame) -> DataFrame:
     """(turn_id, n_markers, n_valid_distinct, invalid, n_invalid, utilization, confidence) from (turn_id, answer, n_sources)."""
-    n = F.coalesce("n_sources", F.lit(0))
-    marked = answers.select("turn_id", n.alias("n"), T.citation_markers(F.col("answer")).alias("m"))
-    inside = lambda x: (x >= 1) & (x <= F.col("n"))
-    valid = F.size(F.array_distinct(F.filter("m", inside)))
-    invalid = F.array_sort(F.array_distinct(F.filter("m", lambda x: ~inside(x) & (F.col("n") > 0))))
-    return marked.select("turn_id", F.size("m").cast("long").alias("n_markers"), valid.cast("long").alias("n_valid_distinct"), invalid.alias("invalid"), "n").select(
-        "turn_id", "n_markers", "n_valid_distinct", "invalid", F.size("invalid").cast("long").alias("n_invalid"),
-        F.when(F.col("n") > 0, F.round(F.col("n_valid_distinct") / F.col("n"), 6)).otherwise(0.0).alias("utilization"), confidence(F.col("n")).alias("confidence"),
-    )
+    return with_audit(answers.select("turn_id", "answer", "n_sources")).drop("answer", "n_sources")
 
 
 def confidence(n_sources):

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .citations import citation_audit
+from ..functions.answers import MIN_CLAIM, with_structure
+from .citations import with_audit
 
-MIN_CLAIM = 45
 # How far each metric may fall below the baseline.
 TOLERANCE = {"mean_coverage": 0.10, "mean_utilization": 0.10, "format_compliance_rate": 0.15, "triage_format_match_rate": 0.15}
 FORMATS = ("table", "list", "steps", "prose")
@@ -76,15 +76,12 @@ def missing_terms(answer: Column, terms: Column) -> Column:
 def score_runs(runs: DataFrame) -> DataFrame:
     """One row of measures for each run (turn_id, query, answer, n_sources, mode, declared, expected, must_mention,
     ranked_chunks, top_score, latency_ms, total_tokens, cost_usd, error). A failed run keeps only its identity and error."""
-    done = runs.where("coalesce(error, '') = ''")
-    lines = markdown_lines(done)
-    joined = done.join(citation_coverage(claim_units(lines)), "turn_id", "left").join(structure(lines), "turn_id", "left").join(citation_audit(done).drop("confidence"), "turn_id", "left")
+    audited = with_audit(with_structure(runs.where("coalesce(error, '') = ''")))
     declared, expected = T.text(F.col("declared")), T.text(F.col("expected"))
     match = F.when(F.col("mode") == "chat", expected.isin("", "chat", "prose")).otherwise((expected == "") | (declared == expected))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    scored = joined.select(
+    scored = audited.select(
         "turn_id", "query", "error", (F.trim(T.text(F.col("answer"))) != "").alias("answered"), is_fallback(F.col("answer")).alias("fallback"), "mode", "declared", "expected",
-        zero("cited_units"), zero("total_units"), F.when(F.col("total_units") > 0, F.round(F.col("cited_units") / F.col("total_units"), 6)).otherwise(0.0).alias("coverage"),
+        "cited_units", "total_units", F.when(F.col("total_units") > 0, F.round(F.col("cited_units") / F.col("total_units"), 6)).otherwise(0.0).alias("coverage"),
         F.col("n_valid_distinct").alias("sources_used"), F.col("n_sources").alias("sources_provided"), "utilization", "invalid", "ranked_chunks", "top_score",
         format_ok(F.col("declared"), F.col("mode")).alias("format_ok"), match.alias("triage_format_match"), missing_terms(F.col("answer"), F.col("must_mention")).alias("missing_terms"), "latency_ms", "total_tokens", "cost_usd",
     )

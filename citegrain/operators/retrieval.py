@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as T
+from ..storage import stored
 
 
 def normalize_search(log: DataFrame) -> DataFrame:
@@ -74,12 +75,15 @@ def extract_stats(pages: DataFrame) -> DataFrame:
 
 def bm25(queries: DataFrame, passages: DataFrame, k: int = DEFAULTS.rerank_top_k, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, rank, chunk_id, score): the best k passages of each query that share a content word with it.
-    The queries' terms are joined to the passages' first, so only passages that match travel on."""
-    counted = passages.select("chunk_id", T.words_in(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("len").alias("avg_len"))
+    The queries' terms are joined to the passages' in one pass, so only passages that match travel on. Rows of one chunk_id and
+    length are one passage."""
     asked = queries.select("query_id", F.explode(T.content_words(F.col("text"))).alias("term")).distinct()
-    terms = counted.select("chunk_id", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    wanted = terms.groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # one pass over the passages: the queries' terms, and one empty term each, which stands for its length
+    words = passages.select("chunk_id", T.words_in(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    wanted = asked.select("term").distinct().unionAll(asked.sparkSession.sql("SELECT '' AS term"))
+    terms = stored(words.join(wanted, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    stats = terms.where("term = ''").agg(F.sum("tf").cast("double").alias("n_docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    wanted = terms.where("term <> ''")
     idf = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
     rarity = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = rarity * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
@@ -114,7 +118,7 @@ def doc_sources(docs: DataFrame, budget: int = DEFAULTS.max_chunks) -> DataFrame
     return full.withColumn("spent", spent).where("spent = 0").select("turn_id", "position", name.alias("name"), F.concat(F.lit("file://"), name).alias("url"), F.substring(F.trim("text"), 1, 160).alias("snippet"), F.greatest(F.least(F.col("n_chunks"), F.lit(budget) - F.col("before")), F.lit(0)).alias("chunks_taken"))
 
 
-def cosine_block_join(lookups: DataFrame, index: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
+def cosine_block_join(lookups: DataFrame, index: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
     """(query_id, candidate_id, similarity) of one bucket's vectors by blocked matrix products: both sides of a bucket
     are dealt to blocks of about `block` vectors, and each block of lookups meets each block of the index."""
 
@@ -122,7 +126,7 @@ def cosine_block_join(lookups: DataFrame, index: DataFrame, threshold: float, bl
         names = ["query_id", "candidate_id", "similarity"]
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64()))})
-        matrix = lambda t: np.stack([np.asarray(v) for v in t.column("e").to_pylist()])
+        matrix = lambda t: t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
         a, b, out = matrix(left), matrix(right), []
         for start in range(0, len(a), 1024):
             s = np.round(a[start : start + 1024] @ b.T, 5)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as T
+from ..storage import stored
 from .anchors import with_anchor
 from .retrieval import cosine_block_join
 
@@ -99,20 +100,22 @@ def semantic_candidates(
 
 
 def _tried(candidates: DataFrame, answers: DataFrame) -> DataFrame:
-    """Candidates with n_rejected_before, wins and rejected: a lookup tries its candidates best first, and the first that
-    no guard rejects, that isn't stale and whose answer (key, answer) is still stored and not blank wins; none is tried after it."""
-    stored = answers.where(F.trim(T.text(F.col("answer"))) != "").select("key").distinct().withColumn("stored", F.lit(True))
-    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "candidate_id")
-    before = best.rowsBetween(Window.unboundedPreceding, -1)
+    """(query_id, won, n_rejected): a lookup tries its candidates best first, and the first that no guard rejects, that isn't
+    stale and whose answer (key, answer) is still stored and not blank wins; none is tried after it. `won` is the winner or
+    null, n_rejected the candidates that guards rejected up to it. Both are sums that tasks add up, so
+    a lookup of many candidates needs no list of them."""
+    held = answers.where(F.trim(T.text(F.col("answer"))) != "").select("key").distinct().withColumn("stored", F.lit(True))
+    order = F.struct((-F.col("similarity")).alias("far"), "candidate_id")
     usable = F.col("reason").isNull() & ~F.col("stale") & F.col("stored").isNotNull()
-    tried = candidates.join(stored, "key", "left").withColumn("usable", usable)
-    tried = tried.withColumn("n_rejected_before", F.count("reason").over(before)).withColumn("won", F.coalesce(F.max("usable").over(before), F.lit(False)))
-    return tried.withColumn("wins", F.col("usable") & ~F.col("won")).withColumn("rejected", F.col("reason").isNotNull() & ~F.col("won"))
+    tried = stored(candidates.join(held, "key", "left").select("query_id", order.alias("order"), F.struct("candidate_id", "similarity", "matched_query").alias("candidate"), F.col("reason").isNotNull().alias("guarded"), usable.alias("usable")), "tried")
+    best = tried.groupBy("query_id").agg(F.min(F.when(F.col("usable"), F.struct("order", "candidate"))).alias("won"))
+    before = F.col("guarded") & (F.col("won").isNull() | (F.col("order") < F.col("won.order")))
+    return tried.select("query_id", "order", "guarded").join(best, "query_id").groupBy("query_id").agg(F.first("won.candidate").alias("won"), F.count(F.when(before, 1)).alias("n_rejected"))
 
 
 def semantic_reuse(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """(query_id, candidate_id, similarity, matched_query, n_rejected_before): the candidate that wins each lookup."""
-    return _tried(candidates, answers).where("wins").select("query_id", "candidate_id", "similarity", "matched_query", "n_rejected_before")
+    return _tried(candidates, answers).where("won IS NOT NULL").select("query_id", "won.*", F.col("n_rejected").alias("n_rejected_before"))
 
 
 def purge_stale_index(index: DataFrame, answers: DataFrame) -> DataFrame:
@@ -130,11 +133,12 @@ def threshold_sweep(candidates: DataFrame, grid: list[float]) -> DataFrame:
 def cache_stats(attribution: DataFrame, candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """One row: hits, misses and hit_rate of exact reuse; semantic_hits, semantic_rejected (by guards, up to the winner)
     and rescue_rate, the semantic hits' share of the misses. Rates without lookups are 0."""
-    tried = _tried(candidates, answers).select(F.when(F.col("wins"), "semantic_hit").when(F.col("rejected"), "semantic_rejected").alias("kind"))
-    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
     rate = lambda part, whole: F.when(F.col(whole) > 0, F.round(F.col(part) / F.col(whole), 3)).otherwise(0.0)
-    kinds = {"hits": "hit", "misses": "miss", "semantic_hits": "semantic_hit", "semantic_rejected": "semantic_rejected"}
-    counts = attribution.select("kind").unionAll(tried).agg(*(n(kind).alias(name) for name, kind in kinds.items())).withColumn("lookups", F.col("hits") + F.col("misses"))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    tried = _tried(candidates, answers).select(F.lit(0).alias("hits"), F.lit(0).alias("misses"), F.col("won").isNotNull().cast("int").alias("semantic_hits"), F.col("n_rejected").alias("semantic_rejected"))
+    exact = attribution.select((F.col("kind") == "hit").cast("int").alias("hits"), (F.col("kind") == "miss").cast("int").alias("misses"), F.lit(0).alias("semantic_hits"), F.lit(0).cast("long").alias("semantic_rejected"))
+    kinds = ["hits", "misses", "semantic_hits", "semantic_rejected"]
+    counts = exact.unionByName(tried).agg(*(count(c).alias(c) for c in kinds)).withColumn("lookups", F.col("hits") + F.col("misses"))
     return counts.select(*kinds, rate("hits", "lookups").alias("hit_rate"), rate("semantic_hits", "misses").alias("rescue_rate"))
 
 

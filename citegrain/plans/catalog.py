@@ -20,4 +20,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Callable], Callable
     return register
 
 
-from . import answer_queries, corpus_queries, eval_queries, log_queries, markdown_queries  # noqa: E402, F401
+from . import answer_queries, corpus_queries, eval_queries, log_queries, markdown_queries, storage_queries  # noqa: E402, F401

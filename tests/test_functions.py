@@ -116,3 +116,45 @@ def test_similar_answers_are_tried_best_first(spark):
     attribution = spark.createDataFrame([("hit",), ("miss",), ("miss",)], "kind string")
     assert tuple(reuse.cache_stats(attribution, candidates, answers).first()) == (1, 2, 1, 1, 0.333, 0.5)
     assert tuple(reuse.cache_stats(attribution.limit(0), candidates.limit(0), answers.limit(0)).first()) == (0, 0, 0, 0, 0.0, 0.0)
+
+
+def test_claims_in_rows_equal_those_of_line_tables(spark):
+    import random
+
+    from citegrain.functions import answers as A
+
+    rng = random.Random(4)
+    long = "A sentence that is certainly long enough to be one claim."
+    pieces = [long, f"{long} And another sentence of more than forty-five characters [2]!", "short.", "", "  ", f"- {long} [1]", "3) " + long, "* x", "| A | B |", "| --- | :-: |", "|x|", "| [1] long | y |", "# Head", "```", "``` py", "---", "|---|", "plain\x0bbroken " + long]
+    rows = [(i, "\n".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))) for i in range(300)] + [(900, None), (901, "\n"), (902, "| A |\n|---|---|\n| B1 |")]
+    df = spark.createDataFrame(rows, "turn_id bigint, answer string")
+    lines = evals.markdown_lines(df)
+    units = evals.claim_units(lines)
+    shown = A.with_visible_lines(df)
+    assert sorted((r.turn_id, r.u) for r in shown.select("turn_id", F.explode(A.claims(F.col("visible"))).alias("u")).collect()) == sorted((r.turn_id, r.unit) for r in units.collect())
+    counted = {r.turn_id: (r.cited_units, r.total_units) for r in evals.citation_coverage(units).collect()}
+    built = {r.turn_id: tuple(r)[1:] for r in evals.structure(lines).collect()}
+    for r in A.with_structure(df).collect():
+        assert (r.cited_units, r.total_units) == counted.get(r.turn_id, (0, 0))
+        assert (r.list_items, r.ordered_items, r.table_columns, r.has_table) == built.get(r.turn_id, (0, 0, 0, False))
+
+
+def test_models_that_fail_embed_nothing(spark):
+    import numpy as np
+
+    from citegrain.operators import embed
+
+    def picky():
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("bad")
+            return np.array([[3.0, 4.0]] * len(texts))
+
+        return model
+
+    def broken():
+        raise OSError("no model")
+
+    df = spark.createDataFrame([(1, "good \n one"), (2, "good one"), (3, "bad"), (4, "  "), (5, None)], "q_id bigint, question string").coalesce(1)
+    assert {r.q_id: r.e for r in embed.embed_questions(df, picky).collect()} == {1: [0.6, 0.8], 2: [0.6, 0.8], 3: None, 4: None, 5: None}
+    assert {r.e for r in embed.embed_questions(df, broken).collect()} == {None}
