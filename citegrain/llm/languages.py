@@ -30,7 +30,7 @@ from .training import row_sample
 
 #: Labelled rows and characters that the learner takes at most.
 TRAIN_DOCS, TRAIN_CHARS = 4000, 16_000_000
-ORDERS, BITS = (1, 2, 3, 4), 16
+ORDERS, BITS = (1, 2, 3, 4), 15
 #: Code points handled at a time.
 BLOCK = 1 << 20
 UNDETERMINED = "und"
@@ -48,15 +48,13 @@ def gram_counts(letters: str) -> tuple[np.ndarray, np.ndarray]:
     for start in range(0, len(letters), BLOCK):
         # a block's n-grams start inside it and may end behind it
         codes = np.frombuffer(letters[start : start + BLOCK + max(ORDERS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts, h, found = min(BLOCK, len(letters) - start), np.zeros(len(codes), np.uint32), []
+        starts, scaled, found = min(BLOCK, len(letters) - start), codes * np.uint32(0x9E3779B1), []
+        h = scaled
         for k in range(max(ORDERS)):
-            n = len(codes) - k
-            if n <= 0:
-                break
-            h = h[:n] * np.uint32(0x01000193) + codes[k:] * np.uint32(0x9E3779B1) + np.uint32(k + 1)
+            if k:
+                h = h[:-1] * np.uint32(0x01000193) + scaled[k:]
             if k + 1 in ORDERS:
-                mixed = h[:starts] ^ (h[:starts] >> np.uint32(15))
-                found.append((mixed * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS))
+                found.append((h[:starts] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS))
         counts = np.bincount(np.concatenate(found), minlength=1 << BITS)
         total = counts if total is None else total + counts
     if total is None:
