@@ -43,11 +43,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         " ",
         F.concat(F.lit("layer="), f.layer), F.concat(F.lit("hz="), f.hz), F.concat(F.lit("channels="), f.channels), F.concat(F.lit("frames="), f.n_frames),
         F.concat(F.lit("samples="), f.n_samples), F.concat(F.lit("table="), f.table_frames, F.lit("/"), f.table_bytes), F.concat(F.lit("crc="), f.crc_checked - f.crc_failed, F.lit("/"), f.crc_checked),
+        F.concat(F.lit("seekable="), f.table_entries - f.table_misses, F.lit("/"), f.table_entries), F.concat(F.lit("clipped="), f.clipped), F.concat(F.lit("payload="), F.when(f.payload_ok, "ok").otherwise("damaged")),
         F.concat(F.lit("skipped="), f.skipped_bytes), F.concat(F.lit("tags="), F.array_join(f.tags, "+")), F.concat(F.lit("seek="), F.crc32(F.array_join(f.seek.cast("array<string>"), " "))),
     )
     return read.select(
         "doc_id", "n_bytes", F.octet_length(f.payload).cast("long").alias("payload_bytes"), F.sha2(f.payload, 256).alias("payload_sha256"),
-        F.crc32(F.substring(f.payload, -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.crc32(F.substring(f.payload, -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), (f.n_samples / f.hz).alias("seconds"), f.seek.alias("seek"),
     )
 
 

@@ -58,12 +58,28 @@ def test_media_round_trip_and_resynchronisation(payload):
     stream = media.write_stream(payload)
     read = media.read_stream(stream)
     assert read["payload"] == payload and read["crc_failed"] == 0 and read["skipped_bytes"] == 0
+    assert read["payload_ok"] and read["clipped"] == 0 and (read["table_entries"], read["table_misses"]) == (100, 0)
     assert read["table_frames"] == read["n_frames"] == len(read["seek"]) and read["n_samples"] == 1152 * read["n_frames"]
     damaged = media.read_stream(b"junk\xff\xfb\x94" + stream[20:])
     assert damaged["n_frames"] == read["n_frames"] and damaged["skipped_bytes"] > 0
     broken = bytearray(stream)
     broken[read["seek"][0] + 8] ^= 1
     assert media.read_stream(bytes(broken))["crc_failed"] == 1
+    at = read["seek"][0] + 6 + media.SIDE  # the length in the first frame
+    long = media.read_stream(stream[:at] + b"\xff\xff" + stream[at + 2 :])
+    assert long["clipped"] == 1 and long["payload_ok"] is False and long["crc_failed"] == 0 and len(long["payload"]) <= len(stream)
+    changed = media.read_stream(stream[: at + 2] + bytes([stream[at + 2] ^ 1]) + stream[at + 3 :])
+    assert changed["payload_ok"] is False and changed["crc_failed"] == 0 and changed["clipped"] == 0
+    table = stream.index(b"Xing") + 16
+    assert media.read_stream(stream[:table] + bytes([255] * 50) + stream[table + 50 :])["table_misses"] > 10
+
+
+def test_text_frames_of_tags():
+    frame = lambda name, data, size: name + size + b"\0\0" + data
+    utf16 = b"\1" + "é b".encode("utf-16")
+    tag = frame(b"TIT2", utf16, len(utf16).to_bytes(4)) + frame(b"PRIV", b"x" * 200, (200).to_bytes(4)) + frame(b"TXXX", b"\0key\0value", (10).to_bytes(4)) + bytes(20)
+    assert media.text_frames(tag, 3) == {"TIT2": "é b", "key": "value"} and media.text_frames(tag, 2) == {} and media.text_frames(b"TIT2", 4) == {}
+    assert media.read_stream(b"")["n_frames"] == 0 and media.read_stream(b"ID3\4\0\0\0\0\0\7TIT2abc")["payload_ok"] is None
 
 
 def test_media_columns(spark):
