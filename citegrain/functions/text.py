@@ -28,6 +28,7 @@ FALLBACKS = (
 # MIME types by extension.
 MIME = {".txt": "text/plain", ".md": "text/plain", ".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
 
+# The patterns of Markdown lines and citation markers.
 SEPARATOR = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$"
 ROW = r"^\s*\|.*\|\s*$"
 HEADING = r"^\s{0,3}#{1,6}\s+"
@@ -101,6 +102,7 @@ def rejection_reason(query: Column, candidate: Column, min_overlap: float = DEFA
     overlap = token_overlap(query, candidate)
     blank = (F.trim(text(query)) == "") | (F.trim(text(candidate)) == "")
     told = lambda head, items: F.concat(F.lit(head + " ("), F.array_join(items, ", "), F.lit(")"))
+    # fixed values: the messages
     return (
         F.when(blank, "empty question")
         .when(F.size(numbers) > 0, told("different numbers", numbers))

@@ -41,7 +41,8 @@ def number_sources(ranked: DataFrame, max_sources: int = DEFAULTS.max_sources, m
     """(turn_id, idx, url, position, text): passages in rank order from the first `max_sources` distinct sources,
     `max_chunks` at most, with the surviving sources numbered by first use."""
     turn = Window.partitionBy("turn_id")
-    full = ranked.where("source_url <> '' AND text <> ''").withColumn("first", F.min("position").over(Window.partitionBy("turn_id", "source_url")))
+    # all windows below are by turn, so one shuffle serves them
+    full = ranked.where("source_url <> '' AND text <> ''").repartition("turn_id").withColumn("first", F.min("position").over(Window.partitionBy("turn_id", "source_url")))
     known = full.withColumn("src", F.dense_rank().over(turn.orderBy("first"))).where(F.col("src") <= max_sources)
     kept = known.withColumn("n", F.row_number().over(turn.orderBy("position"))).where(F.col("n") <= max_chunks)
     return kept.withColumn("idx", F.dense_rank().over(turn.orderBy("first"))).select("turn_id", "idx", F.col("source_url").alias("url"), "position", "text")

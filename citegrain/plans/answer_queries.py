@@ -13,6 +13,7 @@ from ..operators import citations as C
 from ..operators import reuse as R
 from ..operators import trace as S
 from ..operators import usage as U
+from ..storage import stored
 from . import relations_sql as Q
 from .catalog import query
 
@@ -37,8 +38,9 @@ query("number_sources", f"WITH {Q.TURNS}, {Q.RANKED}, {Q.NUMBERED} SELECT * FROM
 
 
 def _numbered(spark, d):
-    ranked = X.ranked(spark, d)
-    return ranked, C.number_sources(ranked)
+    """Ranked passages and those numbered, each written once, as queries take them several times."""
+    ranked = stored(X.ranked(spark, d), "ranked")
+    return ranked, stored(C.number_sources(ranked), "numbered")
 
 
 def _results(spark, d):
