@@ -77,3 +77,27 @@ _LETTERS = "list_transform(str_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c
 query("embed_questions", f"WITH {Q.QUESTIONS}, v AS (SELECT q_id, {_LETTERS} AS v FROM questions) SELECT q_id, CAST(26 AS INT) AS n, round(v[1] / sqrt(list_dot_product(v, v)), 4) AS a, round(v[5] / sqrt(list_dot_product(v, v)), 4) AS e FROM v")(
     lambda spark, d: B.embed_questions(X.questions(spark, d).withColumn("question", F.concat(F.lit("  "), F.replace("question", F.lit(" "), F.lit("\n ")))), letter_model).select("q_id", F.size("e").alias("n"), F.round(F.get("e", F.lit(0)), 4).alias("a"), F.round(F.get("e", F.lit(4)), 4).alias("e"))
 )
+
+
+def length_model():
+    """A small scorer that SQL can tell as well, and that fails on empty passages."""
+
+    def score(queries, texts):
+        if any(not t for t in texts):
+            raise ValueError("empty passage")
+        return np.array([[len(t) / (len(t) + len(q))] for q, t in zip(queries, texts)], float)
+
+    return score
+
+
+query("rerank_by_model", f"""WITH {Q.TURNS}, {Q.RANKED}, s AS (SELECT r.turn_id AS query_id, position AS chunk_id, CASE WHEN text <> '' THEN len(text) / CAST(len(text) + len(query) AS DOUBLE) ELSE 0.5 END AS score FROM ranked r JOIN turns t USING (turn_id)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, chunk_id, round(score, 6) AS score FROM s) SELECT * FROM r WHERE rank <= 12""")(
+    lambda spark, d: V.rerank(B.score_pairs(X.ranked(spark, d).join(X.turns(spark, d).select("turn_id", "query"), "turn_id").select(F.col("turn_id").alias("query_id"), F.col("position").alias("chunk_id"), "query", "text"), length_model)).withColumn("score", F.round("score", 6))
+)
+query("request_limits", """SELECT doc_id, concat_ws(',', CASE WHEN len(text) < 1 OR len(text) > 2000 THEN 'query length' END, CASE WHEN doc_id % 8 NOT BETWEEN 1 AND 5 THEN 'iterations' END, CASE WHEN doc_id % 25 > 20 THEN 'history length' END,
+  CASE WHEN doc_id % 7 > 5 THEN 'documents' END, CASE WHEN len(text) * 3 > 16000 THEN 'document text length' END, CASE WHEN doc_id % 300 > 255 THEN 'name length' END, CASE WHEN len(text) * (doc_id % 5) < 1 OR len(text) * (doc_id % 5) > 10000 THEN 'note length' END) AS reasons
+FROM documents WHERE len(text) < 1 OR len(text) > 2000 OR doc_id % 8 NOT BETWEEN 1 AND 5 OR doc_id % 25 > 20 OR doc_id % 7 > 5 OR len(text) * 3 > 16000 OR doc_id % 300 > 255 OR len(text) * (doc_id % 5) < 1 OR len(text) * (doc_id % 5) > 10000""")(
+    lambda spark, d: I.validate_requests(X.table(spark, d, "documents").selectExpr(
+        "doc_id", "text AS query", "doc_id % 8 AS iterations", "array_repeat('t', CAST(doc_id % 25 AS INT)) AS history", "array_repeat('d', CAST(doc_id % 7 AS INT)) AS documents", "repeat(text, 3) AS doc_text",
+        "repeat('n', CAST(doc_id % 300 AS INT)) AS name", "repeat(text, CAST(doc_id % 5 AS INT)) AS note"))[1].select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+)
