@@ -1,10 +1,11 @@
 """Chains of anchors in ordered events: each anchor holds for a while, and the next one is the first able event after.
 
 Whether an event is an anchor depends on all before it, yet no key's events need one task. Events are numbered in
-their order by range partitions; each able event is linked to the first able event at or after its end (a merge of
-ends and times, range partitioned alike, so that a hot key takes as many tasks as its rows fill); then pointer
-doubling marks what the first able event of each key reaches: the links are squared until none is left, and the marks
-follow the squares from the longest to the shortest. The number of rounds is the logarithm of the longest chain.
+their order by range partitions. A key of few able events (FOLDED) is folded in place, in one aggregate. For all others
+each able event is linked to the first able event at or after its end (a merge of ends and times, range partitioned
+alike, so that a hot key takes as many tasks as its rows fill); then pointer doubling marks what the first able event of
+each key reaches: the links are squared until none is left, and the marks follow the squares from the longest to the
+shortest. The number of rounds is the logarithm of the longest chain. Both ways give the same anchors.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 
+#: Able events of a key that one fold takes at most.
+FOLDED = 4096
+
 
 def _blocks_before() -> WindowSpec:
     """The blocks before a block, in one task: there are as many rows as range partitions, whatever the input."""
@@ -49,8 +53,18 @@ def links(events: DataFrame) -> DataFrame:
     return found.join(F.broadcast(edges), "block").where(to["key"].eqNullSafe(F.col("key"))).select("pos", to["pos"].alias("to"))
 
 
-def anchors(events: DataFrame) -> DataFrame:
-    """(pos): the anchors of numbered events."""
+def folded(able: DataFrame) -> DataFrame:
+    """(pos): the anchors of able events (key, pos, ts, ends) of keys that have few."""
+    rows = able.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "ts", "ends"))).alias("rows"))
+    kinds = able.schema["ends"].dataType.simpleString()
+    begin = F.struct(F.lit(None).cast(kinds).alias("until"), F.array().cast("array<bigint>").alias("found"))
+    starts = lambda held, x: held["until"].isNull() | (x["ts"] >= held["until"])
+    told = F.aggregate("rows", begin, lambda held, x: F.when(starts(held, x), F.struct(x["ends"].alias("until"), F.array_append(held["found"], x["pos"]).alias("found"))).otherwise(held), lambda held: held["found"])
+    return rows.select(F.explode(told).alias("pos"))
+
+
+def doubled(events: DataFrame) -> DataFrame:
+    """(pos): the anchors of numbered events by pointer doubling."""
     rounds, step = [], stored(links(events), "links")
     while step.take(1):
         rounds.append(step)
@@ -61,6 +75,18 @@ def anchors(events: DataFrame) -> DataFrame:
     return marked
 
 
+def anchors(events: DataFrame, most_folded: int | None = None) -> DataFrame:
+    """(pos): the anchors of numbered events."""
+    able = events.where("able").select("key", "pos", "ts", "ends", "able")
+    most = FOLDED if most_folded is None else most_folded
+    many = able.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("key").alias("hot"))
+    if not many.take(1):
+        return folded(able)
+    many = stored(many, "hot")
+    hot = able["key"].eqNullSafe(many["hot"])
+    return folded(able.join(many, hot, "left_anti")).unionAll(doubled(able.join(many, hot, "left_semi")))
+
+
 def with_anchor(events: DataFrame, key: str, able: Column, seconds: Column) -> DataFrame:
     """The events with `key`, `pos` and `anchor` (key, pos, event_id, ts, ends), the last one up to the event itself; null before
     the first. `seconds` is how long an anchor holds, more than 0; only `able` events are anchors."""

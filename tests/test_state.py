@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citegrain.functions import markdown as M
-from citegrain.operators import answer_store, evals, markdown, passages, reuse, trace
+from citegrain.operators import anchors, answer_store, evals, markdown, passages, reuse, trace
 from citegrain.storage import scratch
 from citegrain.streaming import events, turns
 
@@ -29,8 +29,10 @@ def by_key(rows):
     return [[r for r in ordered if r[0] == k] for k in {r[0] for r in ordered}]
 
 
+@pytest.mark.parametrize("most", [0, 80, 4096])
 @pytest.mark.parametrize("keys, seconds", [("ab", 400), ("a", 90_000), ([None, "x", "y", "z"], 5000)])
-def test_windows_equal_a_loop(spark, keys, seconds):
+def test_windows_equal_a_loop(spark, monkeypatch, keys, seconds, most):
+    monkeypatch.setattr(anchors, "FOLDED", most)
     rows = log(1, 300, keys, seconds)
     df = spark.createDataFrame(rows, "user_id string, event_id bigint, ts timestamp_ntz, time_sensitive boolean, cacheable boolean").repartition(3)
     want = {r[1]: (r[0], None, None, None) for r in rows}
@@ -47,8 +49,10 @@ def test_windows_equal_a_loop(spark, keys, seconds):
     assert reuse.anchored_windows(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 4096])
 @pytest.mark.parametrize("keys, seconds", [("ab", 30_000), ("a", 300_000), ([None, "x"], 5000)])
-def test_attribution_equals_a_loop(spark, keys, seconds):
+def test_attribution_equals_a_loop(spark, monkeypatch, keys, seconds, most):
+    monkeypatch.setattr(anchors, "FOLDED", most)
     rows = log(2, 300, keys, seconds)
     df = spark.createDataFrame(rows, "query string, event_id bigint, ts timestamp, time_sensitive boolean, cacheable boolean").repartition(3)
     want = {r[1]: ("miss", None, None) for r in rows}
@@ -66,8 +70,6 @@ def test_attribution_equals_a_loop(spark, keys, seconds):
 
 def test_one_key_takes_several_tasks(spark):
     df = spark.range(20_000).selectExpr("'k' AS user_id", "id AS event_id", "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, CAST(id AS INT)) AS ts")
-    from citegrain.operators import anchors
-
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are too few to need tasks of their own
     try:
         rows = anchors.numbered(df, "user_id", F.lit(True), F.lit(60))
