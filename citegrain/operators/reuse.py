@@ -58,7 +58,7 @@ def quantize_vector(v: Column, digits: int = 5) -> Column:
 def anchored_windows(events: DataFrame, key: str = "user_id", duration_s: int = DEFAULTS.rate_window_s, limit: int = DEFAULTS.rate_limit) -> DataFrame:
     """(key, event_id, window_start, n, exceeded): a key's window starts with its first event and the next one with the
     first event after its end; all events count. An event without a time is in no window."""
-    held = with_anchor(events.select(F.col(key), "event_id", "ts"), key, F.lit(True), F.lit(duration_s))
+    held = with_anchor(events, key, F.lit(True), F.lit(duration_s))
     n = F.when(F.col("ts").isNotNull(), F.col("pos") - F.col("anchor.pos") + 1)
     return held.select(F.col("key").alias(key), "event_id", F.when(F.col("ts").isNotNull(), F.col("anchor.ts")).alias("window_start"), n.alias("n"), (n > limit).alias("exceeded"))
 
@@ -73,8 +73,7 @@ def reuse_attribution(requests: DataFrame, key: str = "query") -> DataFrame:
     """(event_id, kind, stored_event_id, age_s): a request hits if its key's stored answer is younger than the
     lifetime of its label; a miss whose answer is cacheable is stored anew, and a hit doesn't renew. A request without
     a time is a miss that stores nothing."""
-    rows = requests.select(F.col(key), "event_id", "ts", "time_sensitive", "cacheable")
-    held = with_anchor(rows, key, F.col("cacheable"), ttl_for(F.col("time_sensitive")))
+    held = with_anchor(requests, key, F.col("cacheable"), ttl_for(F.col("time_sensitive")))
     a = F.col("anchor")
     hit = (a["pos"] < F.col("pos")) & (F.col("ts") < a["ends"])
     age = F.when(hit, F.expr("CAST(CAST(ts - anchor.ts AS INTERVAL SECOND) AS BIGINT)"))

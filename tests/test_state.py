@@ -68,11 +68,12 @@ def test_attribution_equals_a_loop(spark, monkeypatch, keys, seconds, most):
     assert "InPandas" not in plan_of(got) and "Python" not in plan_of(got)
 
 
-def test_one_key_takes_several_tasks(spark):
+def test_one_key_takes_several_tasks(spark, monkeypatch):
     df = spark.range(20_000).selectExpr("'k' AS user_id", "id AS event_id", "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, CAST(id AS INT)) AS ts")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are too few to need tasks of their own
     try:
-        rows = anchors.numbered(df, "user_id", F.lit(True), F.lit(60))
+        monkeypatch.setattr(anchors, "FOLDED", 100)
+        rows = anchors.numbered(anchors.with_ends(df, "user_id", F.lit(True), F.lit(60)))
         sizes = [r.n for r in rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()]
         assert len(sizes) == 4 and max(sizes) < 8000
         assert sorted(r.pos for r in anchors.anchors(rows).collect()) == list(range(0, 20_000, 60))
