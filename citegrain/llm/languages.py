@@ -178,9 +178,9 @@ def inverse_frequencies(letters: DataFrame) -> np.ndarray:
 
 def train(documents: DataFrame, allowed: Column, most_docs: int = TRAIN_DOCS, most_chars: int = TRAIN_CHARS) -> LanguageModel:
     """The model of the rows of (doc_id, text, lang) that `allowed` admits and that have a language and a letter."""
-    rows = documents.where(allowed & F.col("lang").isNotNull()).select("doc_id", "lang", letters_of(F.col("text")).alias("letters")).where("letters IS NOT NULL")
-    texts, langs = row_sample(rows, "lang", most_docs, most_chars, text_col="letters")
-    return fit(texts, langs, inverse_frequencies(rows))
+    rows = documents.where(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    texts, langs = row_sample(rows, "lang", most_docs, most_chars, shown=letters_of)
+    return fit(texts, langs, inverse_frequencies(rows.select(letters_of(F.col("text")).alias("letters"))))
 
 
 def identify(df: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -34,12 +34,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, allowed
     return texts, np.array(y, float)
 
 
-def row_sample(rows: DataFrame, label: str, most_docs: int, most_chars: int = TRAIN_CHARS, text_col: str = "text") -> tuple[list[str | None], list]:
+def row_sample(rows: DataFrame, label: str, most_docs: int, most_chars: int = TRAIN_CHARS, shown: Callable[[Column], Column] | None = None) -> tuple[list[str | None], list]:
     """(texts, labels) of different rows of (doc_id, text, label), the first `most_docs` by a hash of their ids,
     without those that `most_chars` has no room for beside those before them. Lengths and hashes settle
-    which; only the texts of the sample leave their tasks, each once, however often its row stands there."""
-    chars = F.coalesce(F.length(text_col), F.lit(0)).alias("chars")
-    told = rows.select("doc_id", F.xxhash64(text_col).alias("hash"), chars, F.col(label).alias("y")).where(F.col("chars") <= most_chars)
+    which; only the texts of the sample leave their tasks, each once, however often its row stands there, and
+    as what `shown` makes of them."""
+    chars = F.coalesce(F.length("text"), F.lit(0)).alias("chars")
+    told = rows.select("doc_id", F.xxhash64("text").alias("hash"), chars, F.col(label).alias("y")).where(F.col("chars") <= most_chars)
     first = told.distinct().orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "chars", "hash", "y").limit(most_docs).collect()
     places, held = [], 0
     for row in first:
@@ -47,9 +48,12 @@ def row_sample(rows: DataFrame, label: str, most_docs: int, most_chars: int = TR
             places.append((row.doc_id, row.hash, row.y, len(places)))
             held += row.chars
     chosen = rows.sparkSession.createDataFrame(places, told.select("doc_id", "hash", "y").schema.add("place", "integer"))
-    text = rows.select(F.col("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(label).alias("y"), F.col(text_col).alias("text"))
+    text = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.col(label).alias("y"), "text")
     same = [text[c].eqNullSafe(chosen[c]) for c in ("doc_id", "hash", "y")]
-    found = text.join(F.broadcast(chosen), same).groupBy("place").agg(F.first("text").alias("text")).toArrow()
+    found = text.join(F.broadcast(chosen), same).groupBy("place").agg(F.first("text").alias("text"))
+    if shown:
+        found = found.select("place", shown(F.col("text")).alias("text"))
+    found = found.toArrow()
     texts = dict(zip(found.column("place").to_pylist(), found.column("text").to_pylist()))
     return [texts[p] for *_, p in places], [y for *_, y, _ in places]
 
