@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import local_path, slices, texts_of
+from .common import give_back, local_path, slices, texts_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
@@ -259,7 +259,8 @@ def _encoding(ranks: str, pattern: str, id_col: str):
             for part in slices(batch, most=1 << 20):
                 offsets, ids = enc.encode(texts_of(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [id_col, "ids"])
-        enc.forget()  # workers live on beside those of other stages
+        enc.forget()
+        give_back()
 
     return run
 

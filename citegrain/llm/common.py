@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -15,6 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 4 << 20
 
 
+#: What a worker keeps from task to task: one operator's model at a time.
+KEPT: dict = {}
+
+
+def give_back(kept: bool = True) -> None:
+    """Return a worker's freed memory to the system, and what it keeps for an operator too if `kept`: it lives on beside the
+    workers of later stages."""
+    if kept:
+        KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import give_back, materialize, slices
 from .components import components
 from .shingles import Shingler, set_key
 
@@ -173,6 +173,7 @@ def _first_pass(df: DataFrame, width: int) -> DataFrame:
     sets of a task have (shingle, sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shingler, told, held, size, sets = Shingler(width), set(), [], 0, 0
         none = lambda k: pa.nulls(k, pa.int64())
 
@@ -203,6 +204,8 @@ def _first_pass(df: DataFrame, width: int) -> DataFrame:
                     told.clear()
                     held, size, sets = [], 0, 0
         yield common()
+        del shingler, told, held
+        give_back()
 
     return df.select("doc_id", "text", "hash").mapInArrow(run, ", ".join(f"{c} bigint" for c in FIRST))
 
@@ -231,6 +234,8 @@ def _postings(df: DataFrame, width: int, t: Fraction, common: np.ndarray) -> Dat
                     keys.append(np.full(len(found[-1]), key))
                 columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys))]
                 yield pa.RecordBatch.from_arrays(columns, ["shingle", "key"])
+        del shingler, told
+        give_back()
 
     return df.select("text").mapInArrow(run, "shingle bigint, key bigint")
 
@@ -273,6 +278,8 @@ def packed(df: DataFrame) -> DataFrame:
                 part = part.filter(pa.array(on, pa.bool_()))
                 data = [pack.compress((text or "").encode()) for text in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(data, pa.binary())], ["id", "hash", "packed"])
+        del told
+        give_back()
 
     return df.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "hash", "text").mapInArrow(run, "id bigint, hash bigint, packed binary")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import KEPT, slices
 from .training import row_sample
 
 #: Labelled rows and characters that the learner takes at most.
@@ -34,7 +34,6 @@ ORDERS, BITS = (1, 2, 3, 4), 15
 #: Code points handled at a time.
 BLOCK = 1 << 20
 UNDETERMINED = "und"
-_KEPT: dict = {}
 
 
 def letters_of(text: Column) -> Column:
@@ -189,10 +188,10 @@ def identify(df: DataFrame, model: LanguageModel, keep: list[str], text_col: str
     keep = [c for c in keep if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _KEPT:
-            _KEPT.clear()
-            _KEPT[token] = sent.value.scorer()
-        score = _KEPT[token]
+        if token not in KEPT:
+            KEPT.clear()
+            KEPT[token] = sent.value.scorer()
+        score = KEPT[token]
         for batch in batches:
             for part in slices(batch, column=0):
                 names, scores = zip(*map(score, part.column(0).to_pylist()))

@@ -10,11 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import KEPT, give_back, slices
 
 #: Text that training takes at most, in characters.
 TRAIN_CHARS = 48_000_000
-_KEPT: dict = {}
 
 
 def residue(divisor: int, id_col: str = "doc_id"):
@@ -64,13 +63,14 @@ def with_score(df: DataFrame, model, keep: list[str], text_col: str = "text", na
     keep = [c for c in keep if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _KEPT:
-            _KEPT.clear()
-            _KEPT[token] = sent.value.scorer()
-        score: Callable = _KEPT[token]
+        if token not in KEPT:
+            KEPT.clear()
+            KEPT[token] = sent.value.scorer()
+        score: Callable = KEPT[token]
         for batch in batches:
             for part in slices(batch, column=0, most=most):
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(score(part.column(0).to_pylist()), pa.float64())], [*keep, name])
+        give_back(kept=False)
 
     fields = df.select(*keep).schema.add(name, "double")
     return df.select(F.col(text_col).alias("_scored"), *keep).mapInArrow(run, fields)
