@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .text import text
 
 # What counts as white space in the patterns below, and the patterns of each kind of line.
-SPACE = r"[\t-\r \xA0  -     　﻿]"
+SPACE = r"[\t-\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 BACKTICKS, TILDES = rf"^{SPACE}*```", rf"^{SPACE}*~~~"
 HEADING = rf"^(#{{1,3}}){SPACE}+(.*)"
 BULLET = rf"^{SPACE}*[-*+]{SPACE}+(.*)"
