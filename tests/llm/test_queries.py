@@ -135,6 +135,15 @@ def test_op10(spark, docs):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(data), sum(gone), spans, sha(bytes(b for b, g in zip(data, gone) if not g)))
 
 
+def test_op10_goes_by_400_bytes_not_by_words(spark, tmp_path):
+    long, short = ("".join(f"{c}{i:03d} " for i in range(80)) for c in "ls")  # 80 words, 400 bytes
+    texts = [f"one<{long}>first", f"two[{long}]second", f"three<{short[:399]}>third", f"four[{short[:399]}]fourth"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, "op10_repeats", str(tmp_path)).collect()}
+    kept = ["one<>first", "two[]second", *texts[2:]]
+    assert got == {i: (len(t), len(t) - len(k), int(t != k), sha(k)) for i, (t, k) in enumerate(zip(texts, kept))}
+
+
 ODD = [(None, None, "en", "a"), (1, "", None, None), (1, "", None, None), (2, "one two three", "en", "a"), (2, "one two three", "en", "a"), (3, "one two three", "fr", "b"), (4, "x " * 60_000, "en", "a"), (5, " \n\t", "xx", "a"), (-1, "mail a.b@c.example.com now", "en", None)]
 
 
