@@ -266,6 +266,15 @@ def test_repeats_of_passages_with_other_text_beside_them(spark, segment, paired)
     hold_repeats(spark, texts, segment=segment, paired=paired)
 
 
+def test_a_shorter_size_takes_the_passages_that_400_bytes_leave(spark):
+    passage = " ".join(f"w{i:04d}" for i in range(51))  # 51 words, 305 bytes
+    texts = [f"{c * 90}<{passage}>{c * 120}" for c in "abcd"]
+    for size in (273, 305, 306, 400):
+        hold_repeats(spark, texts, size)
+        got = [passage in bytes(r.kept).decode() for r in repeats.remove_repeats(frame(spark, texts, "removed"), size).collect()]
+        assert got == [size > 307] * 4  # its brackets stand around it every time
+
+
 def test_pseudonyms_are_reversible_valid_and_linked(spark):
     key = b"0123456789abcdef"
     assert sorted(pii.permute(i, 97, key, "t") for i in range(97)) == list(range(97))
