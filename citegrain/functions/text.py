@@ -89,10 +89,21 @@ def sym_diff(a: Column, b: Column) -> Column:
 
 def comparison_order(c: Column) -> Column:
     """The two words around the first inner 'vs' or 'versus', or null."""
-    w = words_in(c)
-    inner = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i > 1) & (i < F.size(w)) & F.get(w, i - 1).isin("vs", "versus"))
-    i = F.get(inner, F.lit(0))
-    return F.when((F.size(w) > 0) & i.isNotNull(), F.concat_ws(" ", F.get(w, i - 2), F.get(w, i)))
+
+    def around(w: Column) -> Column:
+        inner = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i > 1) & (i < F.size(w)) & F.get(w, i - 1).isin("vs", "versus"))
+        i = F.get(inner, F.lit(0))
+        return F.when((F.size(w) > 0) & i.isNotNull(), F.concat_ws(" ", F.get(w, i - 2), F.get(w, i)))
+
+    return F.get(F.transform(F.array(words_in(c)), around), F.lit(0))  # bound by a lambda, the words are taken once
+
+
+def question_traits(c: Column) -> Column:
+    """What `rejection_reason` compares, as a struct of texts: alike (numbers and polarity words; null for a blank question), compared
+    (the order of a comparison, or null) and words (content words, joined by blanks, of which none holds one)."""
+    told = lambda a: F.array_join(F.array_sort(a), " ")
+    alike = F.when(F.trim(text(c)) != "", F.concat(told(numbers_in(c)), F.lit("|"), told(polarity_words(c))))
+    return F.struct(alike.alias("alike"), comparison_order(c).alias("compared"), F.array_join(content_words(c), " ").alias("words"))
 
 
 def rejection_reason(query: Column, candidate: Column, min_overlap: float = DEFAULTS.word_overlap) -> Column:

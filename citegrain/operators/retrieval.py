@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -118,29 +120,43 @@ def doc_sources(docs: DataFrame, budget: int = DEFAULTS.max_chunks) -> DataFrame
     return full.withColumn("spent", spent).where("spent = 0").select("turn_id", "position", name.alias("name"), F.concat(F.lit("file://"), name).alias("url"), F.substring(F.trim("text"), 1, 160).alias("snippet"), F.greatest(F.least(F.col("n_chunks"), F.lit(budget) - F.col("before")), F.lit(0)).alias("chunks_taken"))
 
 
-def cosine_block_join(lookups: DataFrame, index: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """(query_id, candidate_id, similarity) of one bucket's vectors by blocked matrix products: both sides of a bucket
-    are dealt to blocks of about `block` vectors, and each block of lookups meets each block of the index."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "candidate_id", "similarity"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64()))})
-        matrix = lambda t: t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        a, b, out = matrix(left), matrix(right), []
-        for start in range(0, len(a), 1024):
-            s = np.round(a[start : start + 1024] @ b.T, 5)
-            q, c = np.nonzero(s >= threshold)
-            out.append((q + start, c, s[q, c]))
-        q, c, s = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"query_id": left.column("vec_id").take(pa.array(q)), "candidate_id": right.column("vec_id").take(pa.array(c)), "similarity": pa.array(s)})
-
+def similar_pairs(left: pa.Table, right: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of left, rows of right, similarity) of two blocks' pairs that reach the threshold, by up to 1024 rows of left."""
+    matrix = lambda t: t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    if not left.num_rows or not right.num_rows:
+        yield np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return
+    a, b = matrix(left), matrix(right)
+    for start in range(0, len(a), 1024):
+        s = a[start : start + 1024] @ b.T
+        q, c = np.nonzero(s >= threshold - 1e-5)  # only these are rounded
+        scaled = s[q, c] * 1e5
+        s = np.where(np.abs(scaled - np.trunc(scaled)) == 0.5, np.trunc(scaled) + np.sign(scaled), np.rint(scaled)) / 1e5  # halves away from 0
+        reached = s >= threshold
+        yield q[reached] + start, c[reached], s[reached]
+
+
+def join_blocks(lookups: DataFrame, index: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = 2048) -> DataFrame:
+    """What `meet` makes of each block of a bucket's lookups and each block of its index, both (vec_id, bucket, ..): the sides of a
+    bucket are dealt to blocks of about `block` rows, and each block of lookups meets each block of the index. One of the
+    two may be without rows."""
     n_blocks = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
     blocks = n_blocks(lookups, "a_blocks").join(n_blocks(index, "b_blocks"), "bucket")
     dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    own = [F.col(c).alias(c) for c in ("vec_id", "e")]  # names of their own, as both sides may come of one table
-    a = lookups.join(blocks, "bucket").select(F.col("bucket").alias("a_bucket"), dealt("a_blocks").alias("a_i"), every("b_blocks").alias("a_j"), *own)
-    b = index.join(blocks, "bucket").select(F.col("bucket").alias("b_bucket"), every("a_blocks").alias("b_i"), dealt("b_blocks").alias("b_j"), *own)
+    own = lambda df: [F.col(c).alias(c) for c in df.columns if c != "bucket"]  # noqa: E731 - names of their own, as both sides may come of one table
+    a = lookups.join(blocks, "bucket").select(F.col("bucket").alias("a_bucket"), dealt("a_blocks").alias("a_i"), every("b_blocks").alias("a_j"), *own(lookups))
+    b = index.join(blocks, "bucket").select(F.col("bucket").alias("b_bucket"), every("a_blocks").alias("b_i"), dealt("b_blocks").alias("b_j"), *own(index))
     pairs = a.groupBy("a_bucket", "a_i", "a_j").cogroup(b.groupBy("b_bucket", "b_i", "b_j"))
-    return pairs.applyInArrow(lambda x, y: run(x, y), "query_id bigint, candidate_id bigint, similarity double")
+    return pairs.applyInArrow(lambda x, y: meet(x, y), schema)
+
+
+def cosine_block_join(lookups: DataFrame, index: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """(query_id, candidate_id, similarity) of one bucket's vectors by blocked matrix products."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, c, s = (np.concatenate(x) for x in zip(*similar_pairs(left, right, threshold)))
+        return pa.table({"query_id": left.column("vec_id").take(pa.array(q)), "candidate_id": right.column("vec_id").take(pa.array(c)), "similarity": pa.array(s)})
+
+    own = ["vec_id", "bucket", "e"]
+    return join_blocks(lookups.select(*own), index.select(*own), run, "query_id bigint, candidate_id bigint, similarity double", block)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..config import DEFAULTS
 from ..functions import text as T
 from ..storage import stored
 from .anchors import with_anchor
-from .retrieval import cosine_block_join
+from .guards import Guard
+from .retrieval import cosine_block_join, join_blocks, similar_pairs
 
 
 def is_cacheable(documents: Column, error: Column, answer: Column, sources: Column) -> Column:
@@ -80,6 +83,12 @@ def reuse_attribution(requests: DataFrame, key: str = "query") -> DataFrame:
     return held.select("event_id", F.when(hit, "hit").otherwise("miss").alias("kind"), F.when(hit, a["event_id"]).alias("stored_event_id"), age.alias("age_s"))
 
 
+def _vectors(df: DataFrame, *more: str) -> DataFrame:
+    """(vec_id, bucket, e, ..) of the rows with a vector and a bucket, which is that of vectors of one length."""
+    of_length = F.concat(F.size("e").cast("string"), F.lit("|"), F.col("bucket").cast("string"))
+    return df.where("size(e) > 0").select("vec_id", of_length.alias("bucket"), "e", *more).where("vec_id IS NOT NULL AND bucket IS NOT NULL")
+
+
 def semantic_candidates(
     lookups: DataFrame, index: DataFrame, threshold: float = DEFAULTS.similarity, min_overlap: float = DEFAULTS.word_overlap, max_age_s: int = DEFAULTS.semantic_age_s
 ) -> DataFrame:
@@ -87,10 +96,9 @@ def semantic_candidates(
     threshold. reason is the guards' rejection; stale marks a time-sensitive answer (null: it is) of more than `max_age_s`.
 
     `lookups` has (vec_id, bucket, e, question, now), `index` (vec_id, bucket, e, question, key, t, time_sensitive), times
-    in seconds. Vectors that are missing or of other lengths than the lookup's are no candidates."""
-    of_length = F.concat(F.size("e").cast("string"), F.lit("|"), F.col("bucket").cast("string"))
-    vectors = lambda df: df.where("size(e) > 0").select("vec_id", of_length.alias("bucket"), "e").where("bucket IS NOT NULL")
-    near = cosine_block_join(vectors(lookups), vectors(index), threshold)
+    in seconds. Vectors that are missing or of other lengths than the lookup's are no candidates. For a look at the pairs:
+    `sweep_in_blocks` counts them where they are made."""
+    near = cosine_block_join(_vectors(lookups), _vectors(index), threshold)
     asked = lookups.select(F.col("vec_id").alias("query_id"), F.col("question").alias("query"), "now")
     held = index.select(F.col("vec_id").alias("candidate_id"), F.col("question").alias("matched_query"), "key", "t", "time_sensitive")
     stale = F.coalesce("time_sensitive", F.lit(True)) & (F.col("now") - F.coalesce("t", F.lit(0)) > max_age_s)
@@ -126,9 +134,38 @@ def threshold_sweep(candidates: DataFrame, grid: list[float]) -> DataFrame:
     """(threshold, accepted, rejected, accepted_share) over a short grid of thresholds."""
     at = F.explode(F.filter(F.array(*map(F.lit, grid)), lambda g: F.col("similarity") >= g))
     counts = candidates.select(at.alias("threshold"), F.col("reason").isNull().cast("long").alias("ok")).groupBy("threshold").agg(F.sum("ok").alias("accepted"), F.sum(1 - F.col("ok")).alias("rejected"))
+    return _with_share(counts)
+
+
+def _with_share(counts: DataFrame) -> DataFrame:
     return counts.withColumn("accepted_share", F.round(F.col("accepted") / (F.col("accepted") + F.col("rejected")), 4))
 
 
+def _with_traits(df: DataFrame) -> DataFrame:
+    """`df` with the fields of its questions' traits, which are taken once for each text."""
+    told = df.select("question").distinct().withColumn("traits", T.question_traits(F.col("question")))
+    other = told.select(F.col("question").alias("told"), "traits.*")
+    return df.join(other, F.col("question").eqNullSafe(F.col("told")), "left").drop("told")
+
+
+def sweep_in_blocks(lookups: DataFrame, index: DataFrame, grid: list[float], min_overlap: float = DEFAULTS.word_overlap, block: int = 2048) -> DataFrame:
+    """What `threshold_sweep` tells of `semantic_candidates`, without a table of pairs: a block tells one row for each threshold."""
+    steps = np.array(sorted(set(grid)))
+    traits = ["alike", "compared", "words"]
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        guard, counts = Guard(left, right, min_overlap), np.zeros((2, len(steps) + 1), int)
+        for q, c, s in similar_pairs(left, right, steps[0]):
+            reached = np.searchsorted(steps, s, side="right")
+            counts += np.bincount(reached + guard.allows(q, c) * (len(steps) + 1), minlength=counts.size).reshape(counts.shape)
+        rejected, accepted = counts[:, ::-1].cumsum(axis=1)[:, -2::-1]  # a pair counts at each threshold that it reaches
+        return pa.table({"threshold": steps, "accepted": accepted, "rejected": rejected})
+
+    asked, held = (_vectors(_with_traits(df), *traits) for df in (lookups, index))
+    made = join_blocks(stored(asked, "lookups"), stored(held, "index"), count, "threshold double, accepted bigint, rejected bigint", block)
+    return _with_share(made.groupBy("threshold").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")).where("accepted + rejected > 0"))
+
+
 def cache_stats(attribution: DataFrame, candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """One row: hits, misses and hit_rate of exact reuse; semantic_hits, semantic_rejected (by guards, up to the winner)
     and rescue_rate, the semantic hits' share of the misses. Rates without lookups are 0."""

@@ -176,9 +176,9 @@ near AS (SELECT * FROM (SELECT x.vec_id AS query_id, y.vec_id AS candidate_id, r
 won AS (SELECT *, usable AND NOT coalesce(won, false) AS wins, reason IS NOT NULL AND NOT coalesce(won, false) AS rejected FROM tried)"""
 
 
-def _candidates(spark, d, threshold=0.25):
+def _candidates(spark, d):
     lookups, index, answers = X.semantic(spark, d)
-    return R.semantic_candidates(lookups, index, threshold), answers
+    return R.semantic_candidates(lookups, index, 0.25), answers
 
 
 query("semantic_reuse", f"WITH {_PAIRS} SELECT query_id, candidate_id, similarity, b AS matched_query, n_rejected_before FROM won WHERE wins")(lambda spark, d: R.semantic_reuse(*_candidates(spark, d)))
@@ -189,7 +189,7 @@ SELECT *, round(hits / (hits + misses), 3) AS hit_rate, round(semantic_hits / mi
 )
 query("threshold_sweep", f"""WITH {_PAIRS} SELECT threshold, CAST(count(CASE WHEN reason IS NULL THEN 1 END) AS BIGINT) AS accepted, CAST(count(reason) AS BIGINT) AS rejected, round(count(CASE WHEN reason IS NULL THEN 1 END) / count(*), 4) AS accepted_share
 FROM judged JOIN (VALUES (CAST(0.1 AS DOUBLE)), (0.2), (0.3), (0.4)) g(threshold) ON similarity >= threshold GROUP BY threshold""")(
-    lambda spark, d: R.threshold_sweep(_candidates(spark, d, 0.1)[0], [0.1, 0.2, 0.3, 0.4])
+    lambda spark, d: R.sweep_in_blocks(*X.semantic(spark, d)[:2], [0.1, 0.2, 0.3, 0.4])
 )
 query("prune_index", "SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings) WHERE r <= 10")(
     lambda spark, d: R.prune_index(X.table(spark, d, "embeddings").select("vec_id", F.col("label"), F.col("label").alias("bucket"), F.col("vec_id").alias("t")), cap=10).select("vec_id", "label")
