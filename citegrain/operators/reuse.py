@@ -97,7 +97,7 @@ def semantic_candidates(
 
     `lookups` has (vec_id, bucket, e, question, now), `index` (vec_id, bucket, e, question, key, t, time_sensitive), times
     in seconds. Vectors that are missing or of other lengths than the lookup's are no candidates. For a look at the pairs:
-    `sweep_in_blocks` counts them where they are made."""
+    `tried_in_blocks` and `sweep_in_blocks` count them where they are made."""
     near = cosine_block_join(_vectors(lookups), _vectors(index), threshold)
     asked = lookups.select(F.col("vec_id").alias("query_id"), F.col("question").alias("query"), "now")
     held = index.select(F.col("vec_id").alias("candidate_id"), F.col("question").alias("matched_query"), "key", "t", "time_sensitive")
@@ -106,12 +106,16 @@ def semantic_candidates(
     return near.join(asked, "query_id").join(held, "candidate_id").select("query_id", "candidate_id", "key", "similarity", "matched_query", reason.alias("reason"), stale.alias("stale"))
 
 
+def _held(answers: DataFrame) -> DataFrame:
+    return answers.where(F.trim(T.text(F.col("answer"))) != "").select("key").distinct().withColumn("stored", F.lit(True))
+
+
 def _tried(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """(query_id, won, n_rejected): a lookup tries its candidates best first, and the first that no guard rejects, that isn't
     stale and whose answer (key, answer) is still stored and not blank wins; none is tried after it. `won` is the winner or
     null, n_rejected the candidates that guards rejected up to it. Both are sums that tasks add up, so
     a lookup of many candidates needs no list of them."""
-    held = answers.where(F.trim(T.text(F.col("answer"))) != "").select("key").distinct().withColumn("stored", F.lit(True))
+    held = _held(answers)
     order = F.struct((-F.col("similarity")).alias("far"), "candidate_id")
     usable = F.col("reason").isNull() & ~F.col("stale") & F.col("stored").isNotNull()
     tried = stored(candidates.join(held, "key", "left").select("query_id", order.alias("order"), F.struct("candidate_id", "similarity", "matched_query").alias("candidate"), F.col("reason").isNotNull().alias("guarded"), usable.alias("usable")), "tried")
@@ -120,9 +124,69 @@ def _tried(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     return tried.select("query_id", "order", "guarded").join(best, "query_id").groupBy("query_id").agg(F.first("won.candidate").alias("won"), F.count(F.when(before, 1)).alias("n_rejected"))
 
 
+def _with_traits(df: DataFrame) -> DataFrame:
+    """`df` with the fields of its questions' traits, which are taken once for each text."""
+    told = df.select("question").distinct().withColumn("traits", T.question_traits(F.col("question")))
+    other = told.select(F.col("question").alias("told"), "traits.*")
+    return df.join(other, F.col("question").eqNullSafe(F.col("told")), "left").drop("told")
+
+
+def tried_in_blocks(
+    lookups: DataFrame, index: DataFrame, answers: DataFrame, threshold: float = DEFAULTS.similarity, min_overlap: float = DEFAULTS.word_overlap, max_age_s: int = DEFAULTS.semantic_age_s, block: int = 2048
+) -> DataFrame:
+    """What `_tried` tells of `semantic_candidates`, without a table of pairs. Guards are judged in the blocks, and a block
+    tells of each lookup its best usable candidate and how many guards rejected; once a lookup's winner is known, blocks are met again to
+    count those rejected before it."""
+    traits = ["alike", "compared", "words"]
+    infinite = float("inf")
+    asked = stored(_vectors(_with_traits(lookups.withColumn("now", F.coalesce(F.col("now").cast("double"), F.lit(infinite)))), "now", *traits), "lookups")
+    usable = index.join(_held(answers), "key", "left").withColumn("stored", F.col("stored").isNotNull())
+    aged = usable.withColumn("t", F.when(F.coalesce("time_sensitive", F.lit(True)), F.coalesce(F.col("t").cast("double"), F.lit(0.0))).otherwise(F.lit(infinite)))
+    held = stored(_vectors(_with_traits(aged), "question", "t", "stored", *traits), "index")
+    numbers = lambda t, name: t.column(name).to_numpy()
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        guard, ids, now, t, kept, out = Guard(left, right, min_overlap), numbers(right, "vec_id"), numbers(left, "now"), numbers(right, "t"), numbers(right, "stored"), []
+        for q, c, s in similar_pairs(left, right, threshold):
+            allowed = guard.allows(q, c)
+            rows = np.unique(q)
+            rejected = np.bincount(q[~allowed], minlength=left.num_rows)[rows]
+            use = allowed & kept[c] & ((t[c] == infinite) | (now[q] - np.where(t[c] == infinite, 0, t[c]) <= max_age_s))
+            q, c, s = q[use], c[use], s[use]
+            order = np.lexsort((ids[c], -s, q))
+            first = order[np.unique(q[order], return_index=True)[1]]
+            won = np.full(left.num_rows, -1)
+            won[q[first]] = first
+            at = won[rows]
+            none = at < 0
+            pick = lambda values: pa.array(values[at] if len(values) else np.zeros(len(at), values.dtype), mask=none)
+            out.append(pa.table({"query_id": left.column("vec_id").take(pa.array(rows)), "candidate_id": pick(ids[c]), "similarity": pick(s), "matched_query": right.column("question").take(pick(c)), "n": pa.array(rejected)}))
+        return pa.concat_tables(out)
+
+    def before(left: pa.Table, right: pa.Table) -> pa.Table:
+        guard, ids, far, won, out = Guard(left, right, min_overlap), numbers(right, "vec_id"), numbers(left, "similarity"), numbers(left, "candidate_id"), np.zeros(left.num_rows, int)
+        for q, c, s in similar_pairs(left, right, far.min() if len(far) else threshold):
+            ahead = (s > far[q]) | ((s == far[q]) & (ids[c] < won[q]))
+            q, c = q[ahead], c[ahead]
+            out += np.bincount(q[~guard.allows(q, c)], minlength=left.num_rows)
+        return pa.table({"query_id": left.column("vec_id"), "n": pa.array(out)})
+
+    found = join_blocks(asked, held, best, "query_id bigint, candidate_id bigint, similarity double, matched_query string, n bigint", block)
+    order = F.struct((-F.col("similarity")).alias("far"), "candidate_id", "similarity", "matched_query")
+    winners = stored(found.groupBy("query_id").agg(F.min(F.when(F.col("candidate_id").isNotNull(), order)).alias("won"), F.sum("n").alias("n_all")), "winners")
+    again = asked.join(winners.where("won IS NOT NULL").select(F.col("query_id").alias("vec_id"), "won.similarity", "won.candidate_id"), "vec_id")
+    counted = join_blocks(again, held.drop("question", "t", "stored"), before, "query_id bigint, n bigint", block).groupBy("query_id").agg(F.sum("n").alias("n"))
+    n_rejected = F.when(F.col("won").isNull(), F.col("n_all")).otherwise(F.coalesce("n", F.lit(0)))
+    return winners.join(counted, "query_id", "left").select("query_id", F.when(F.col("won").isNotNull(), F.struct("won.candidate_id", "won.similarity", "won.matched_query")).alias("won"), n_rejected.alias("n_rejected"))
+
+
+def won(tried: DataFrame) -> DataFrame:
+    return tried.where("won IS NOT NULL").select("query_id", "won.*", F.col("n_rejected").alias("n_rejected_before"))
+
+
 def semantic_reuse(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """(query_id, candidate_id, similarity, matched_query, n_rejected_before): the candidate that wins each lookup."""
-    return _tried(candidates, answers).where("won IS NOT NULL").select("query_id", "won.*", F.col("n_rejected").alias("n_rejected_before"))
+    return won(_tried(candidates, answers))
 
 
 def purge_stale_index(index: DataFrame, answers: DataFrame) -> DataFrame:
@@ -141,13 +205,6 @@ def _with_share(counts: DataFrame) -> DataFrame:
     return counts.withColumn("accepted_share", F.round(F.col("accepted") / (F.col("accepted") + F.col("rejected")), 4))
 
 
-def _with_traits(df: DataFrame) -> DataFrame:
-    """`df` with the fields of its questions' traits, which are taken once for each text."""
-    told = df.select("question").distinct().withColumn("traits", T.question_traits(F.col("question")))
-    other = told.select(F.col("question").alias("told"), "traits.*")
-    return df.join(other, F.col("question").eqNullSafe(F.col("told")), "left").drop("told")
-
-
 def sweep_in_blocks(lookups: DataFrame, index: DataFrame, grid: list[float], min_overlap: float = DEFAULTS.word_overlap, block: int = 2048) -> DataFrame:
     """What `threshold_sweep` tells of `semantic_candidates`, without a table of pairs: a block tells one row for each threshold."""
     steps = np.array(sorted(set(grid)))
@@ -169,12 +226,17 @@ def sweep_in_blocks(lookups: DataFrame, index: DataFrame, grid: list[float], min
 def cache_stats(attribution: DataFrame, candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """One row: hits, misses and hit_rate of exact reuse; semantic_hits, semantic_rejected (by guards, up to the winner)
     and rescue_rate, the semantic hits' share of the misses. Rates without lookups are 0."""
+    return stats_of(attribution, _tried(candidates, answers))
+
+
+def stats_of(attribution: DataFrame, tried: DataFrame) -> DataFrame:
+    """The row of `cache_stats` for lookups that are tried."""
     rate = lambda part, whole: F.when(F.col(whole) > 0, F.round(F.col(part) / F.col(whole), 3)).otherwise(0.0)
     count = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    tried = _tried(candidates, answers).select(F.lit(0).alias("hits"), F.lit(0).alias("misses"), F.col("won").isNotNull().cast("int").alias("semantic_hits"), F.col("n_rejected").alias("semantic_rejected"))
+    semantic = tried.select(F.lit(0).alias("hits"), F.lit(0).alias("misses"), F.col("won").isNotNull().cast("int").alias("semantic_hits"), F.col("n_rejected").alias("semantic_rejected"))
     exact = attribution.select((F.col("kind") == "hit").cast("int").alias("hits"), (F.col("kind") == "miss").cast("int").alias("misses"), F.lit(0).alias("semantic_hits"), F.lit(0).cast("long").alias("semantic_rejected"))
     kinds = ["hits", "misses", "semantic_hits", "semantic_rejected"]
-    counts = exact.unionByName(tried).agg(*(count(c).alias(c) for c in kinds)).withColumn("lookups", F.col("hits") + F.col("misses"))
+    counts = exact.unionByName(semantic).agg(*(count(c).alias(c) for c in kinds)).withColumn("lookups", F.col("hits") + F.col("misses"))
     return counts.select(*kinds, rate("hits", "lookups").alias("hit_rate"), rate("semantic_hits", "misses").alias("rescue_rate"))
 
 

@@ -1,4 +1,4 @@
-"""Guards and thresholds judged in blocks of vectors, against tables of pairs."""
+"""Guards, thresholds and winners judged in blocks of vectors, against tables of pairs."""
 
 import random
 
@@ -63,3 +63,20 @@ def test_similarity_rounds_halves_away_from_zero(spark):
     one = lambda i, x: spark.createDataFrame([(i, 1, [x])], "vec_id bigint, bucket int, e array<double>")
     assert [r.similarity for r in cosine_block_join(one(1, 0.125), one(2, 0.125), 0.01563).collect()] == [0.01563]
     assert [r.similarity for r in cosine_block_join(one(1, 0.125), one(2, -0.125), -1.0).collect()] == [-0.01563]
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_winners_in_blocks_equal_those_of_pairs(spark, block):
+    lookups, index, answers = sides(spark)
+    want = sorted(map(tuple, reuse._tried(reuse.semantic_candidates(lookups, index, 0.2, max_age_s=150), answers).collect()))
+    assert {w is None for _, w, _ in want} == {True, False} and any(w and n for _, w, n in want) and any(n and not w for _, w, n in want)
+    got = reuse.tried_in_blocks(lookups, index, answers, 0.2, max_age_s=150, block=block)
+    assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, reuse.won(got).collect())) == [(q, *w, n) for q, w, n in want if w]
+    assert reuse.tried_in_blocks(lookups, index.limit(0), answers).count() == 0
+
+
+def test_reuse_makes_no_table_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(reuse, "semantic_candidates", None)
+    monkeypatch.setattr(T, "rejection_reason", None)
+    assert catalog.QUERIES["semantic_reuse"](spark, "/root/testdata/sf0.01").count() == 1
