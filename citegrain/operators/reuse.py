@@ -83,6 +83,24 @@ def reuse_attribution(requests: DataFrame, key: str = "query") -> DataFrame:
     return held.select("event_id", F.when(hit, "hit").otherwise("miss").alias("kind"), F.when(hit, a["event_id"]).alias("stored_event_id"), age.alias("age_s"))
 
 
+def reuse_counts(requests: DataFrame, key: str = "query") -> DataFrame:
+    """(hits, misses), one row: how many requests `reuse_attribution` tells of each kind. Requests of one key and time are one group: all
+    are covered by an earlier answer, or the first cacheable one is stored, for those behind it alone. So groups are chained, not requests."""
+    able = F.coalesce(F.col("cacheable"), F.lit(False)) & F.col("ts").isNotNull()
+    rows = requests.select(F.col(key).alias("key"), "ts", "event_id", able.alias("able"), ttl_for(F.col("time_sensitive")).alias("lasts"))
+    groups = stored(rows.groupBy("key", "ts").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("able"), F.struct("event_id", "lasts"))).alias("first")), "groups")
+    named = groups.select("key", "ts", F.struct("first.event_id", "n").alias("event_id"), F.col("first").isNotNull().alias("able"), "first.lasts")
+    held = with_anchor(named, "key", F.col("able"), F.col("lasts"))
+    a, n = F.col("anchor"), F.col("event_id.n")
+    stores, covered = a["pos"] == F.col("pos"), (a["pos"] < F.col("pos")) & (F.col("ts") < a["ends"])
+    told = stored(held.select("key", "ts", F.col("event_id.event_id").alias("first"), n.alias("n"), stores.alias("stores"), F.when(stores, n - 1).when(covered, n).otherwise(0).alias("hits")), "told")
+    begun = told.where("stores AND n > 1").select(F.col("key").alias("k"), F.col("ts").alias("at"), "first")
+    ahead = rows.where("NOT able").join(begun, F.col("key").eqNullSafe(F.col("k")) & (F.col("ts") == F.col("at")) & (F.struct("event_id") <= F.struct(F.col("first").alias("event_id"))))
+    parts = told.select("n", "hits").unionAll(ahead.select(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("hits")))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return parts.agg(count("hits").alias("hits"), count(F.col("n") - F.col("hits")).alias("misses"))
+
+
 def _vectors(df: DataFrame, *more: str) -> DataFrame:
     """(vec_id, bucket, e, ..) of the rows with a vector and a bucket, which is that of vectors of one length."""
     of_length = F.concat(F.size("e").cast("string"), F.lit("|"), F.col("bucket").cast("string"))
@@ -226,18 +244,16 @@ def sweep_in_blocks(lookups: DataFrame, index: DataFrame, grid: list[float], min
 def cache_stats(attribution: DataFrame, candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """One row: hits, misses and hit_rate of exact reuse; semantic_hits, semantic_rejected (by guards, up to the winner)
     and rescue_rate, the semantic hits' share of the misses. Rates without lookups are 0."""
-    return stats_of(attribution, _tried(candidates, answers))
+    of_kind = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias("hits" if kind == "hit" else "misses")
+    return stats_of(attribution.agg(of_kind("hit"), of_kind("miss")), _tried(candidates, answers))
 
 
-def stats_of(attribution: DataFrame, tried: DataFrame) -> DataFrame:
-    """The row of `cache_stats` for lookups that are tried."""
+def stats_of(exact: DataFrame, tried: DataFrame) -> DataFrame:
+    """The row of `cache_stats` from (hits, misses) and lookups that are tried."""
     rate = lambda part, whole: F.when(F.col(whole) > 0, F.round(F.col(part) / F.col(whole), 3)).otherwise(0.0)
-    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    semantic = tried.select(F.lit(0).alias("hits"), F.lit(0).alias("misses"), F.col("won").isNotNull().cast("int").alias("semantic_hits"), F.col("n_rejected").alias("semantic_rejected"))
-    exact = attribution.select((F.col("kind") == "hit").cast("int").alias("hits"), (F.col("kind") == "miss").cast("int").alias("misses"), F.lit(0).alias("semantic_hits"), F.lit(0).cast("long").alias("semantic_rejected"))
-    kinds = ["hits", "misses", "semantic_hits", "semantic_rejected"]
-    counts = exact.unionByName(semantic).agg(*(count(c).alias(c) for c in kinds)).withColumn("lookups", F.col("hits") + F.col("misses"))
-    return counts.select(*kinds, rate("hits", "lookups").alias("hit_rate"), rate("semantic_hits", "misses").alias("rescue_rate"))
+    semantic = tried.agg(F.count("won").alias("semantic_hits"), F.coalesce(F.sum("n_rejected"), F.lit(0)).alias("semantic_rejected"))
+    counts = exact.crossJoin(F.broadcast(semantic)).withColumn("lookups", F.col("hits") + F.col("misses"))  # one row each
+    return counts.select("hits", "misses", "semantic_hits", "semantic_rejected", rate("hits", "lookups").alias("hit_rate"), rate("semantic_hits", "misses").alias("rescue_rate"))
 
 
 def prune_index(index: DataFrame, cap: int = DEFAULTS.index_cap) -> DataFrame:

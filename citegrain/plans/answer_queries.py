@@ -180,7 +180,7 @@ query("semantic_reuse", f"WITH {_PAIRS} SELECT query_id, candidate_id, similarit
 query("cache_stats", f"""WITH {_REUSE}, {_PAIRS}, x AS (SELECT count(CASE WHEN kind = 'hit' THEN 1 END) AS hits, count(CASE WHEN kind <> 'hit' THEN 1 END) AS misses FROM a),
 s AS (SELECT count(CASE WHEN wins THEN 1 END) AS semantic_hits, count(CASE WHEN rejected THEN 1 END) AS semantic_rejected FROM won)
 SELECT *, round(hits / (hits + misses), 3) AS hit_rate, round(semantic_hits / misses, 3) AS rescue_rate FROM x, s""")(
-    lambda spark, d: R.stats_of(R.reuse_attribution(X.requests(spark, d)), R.tried_in_blocks(*X.semantic(spark, d), 0.25))
+    lambda spark, d: R.stats_of(R.reuse_counts(X.requests(spark, d)), R.tried_in_blocks(*X.semantic(spark, d), 0.25))
 )
 query("threshold_sweep", f"""WITH {_PAIRS} SELECT threshold, CAST(count(CASE WHEN reason IS NULL THEN 1 END) AS BIGINT) AS accepted, CAST(count(reason) AS BIGINT) AS rejected, round(count(CASE WHEN reason IS NULL THEN 1 END) / count(*), 4) AS accepted_share
 FROM judged JOIN (VALUES (CAST(0.1 AS DOUBLE)), (0.2), (0.3), (0.4)) g(threshold) ON similarity >= threshold GROUP BY threshold""")(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citegrain.functions import text as T
-from citegrain.operators import reuse
+from citegrain.operators import anchors, reuse
 from citegrain.operators.retrieval import cosine_block_join
 from citegrain.plans import catalog
 
@@ -80,3 +80,25 @@ def test_reuse_makes_no_table_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(reuse, "semantic_candidates", None)
     monkeypatch.setattr(T, "rejection_reason", None)
     assert catalog.QUERIES["semantic_reuse"](spark, "/root/testdata/sf0.01").count() == 1
+
+
+@pytest.mark.parametrize("most", [0, 4096])
+def test_counts_equal_those_of_attribution(spark, monkeypatch, most):
+    from datetime import datetime, timedelta
+
+    monkeypatch.setattr(anchors, "FOLDED", most)
+    rng = random.Random(9)
+    at = lambda: None if rng.random() < 0.03 else datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(60) * 400)  # noqa: E731 - many at one time
+    rows = [(rng.choice(["a", "a", "b", None]), i, at(), rng.choice([True, False, None]), rng.choice([True, False, False, None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "query string, event_id bigint, ts timestamp, time_sensitive boolean, cacheable boolean").repartition(3)
+    kinds = {r.kind: r["count"] for r in reuse.reuse_attribution(df).groupBy("kind").count().collect()}
+    assert kinds["hit"] > 100 and kinds["miss"] > 50
+    assert tuple(reuse.reuse_counts(df).first()) == (kinds["hit"], kinds["miss"])
+    assert tuple(reuse.reuse_counts(df.limit(0)).first()) == (0, 0)
+
+
+def test_stats_number_no_requests(spark, monkeypatch):
+    monkeypatch.setattr(reuse, "reuse_attribution", None)
+    monkeypatch.setattr(reuse, "semantic_candidates", None)
+    row = catalog.QUERIES["cache_stats"](spark, "/root/testdata/sf0.01").first()
+    assert row.hits + row.misses == 10_000 and row.semantic_hits == 1
